@@ -76,3 +76,14 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*_columns(order)))
     return df.withColumn(out, rank).where(F.col(out) <= k)
+
+
+def with_max_before(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, chunk: Column) -> DataFrame:
+    """``out`` = largest ``value`` on the earlier rows of the key; null on its first row."""
+    cut = df.withColumn("_chunk", chunk)
+    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(*keys, "_chunk").agg(F.max(value).alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "_chunk", F.max("_top").over(earlier).alias("_carry"))
+    joined = cut.withColumn("_here", F.max(value).over(local)).join(carried, [*keys, "_chunk"])
+    return joined.withColumn(out, F.greatest("_here", "_carry")).drop("_chunk", "_here", "_carry")

@@ -91,3 +91,72 @@ links AS (
     CASE WHEN reject IS NULL THEN chost || port || '/' || rtrim(path, '/') || '?' || query END AS key
   FROM shaped)
 """
+
+
+# Subscriptions, posts, schedules and users out of orders, line items and customers.
+
+# Time zones and delivery channels handed out by nation and customer.
+TIMEZONES = ["America/Los_Angeles", "Europe/Berlin", "Asia/Tokyo", "Pacific/Auckland", "America/Sao_Paulo", "UTC"]
+CHANNELS = ["email", "single_feed", "multiple_feeds"]
+
+
+def subscriptions(orders: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    live = k % 5 != 0
+    return orders.select(
+        k.alias("id"), F.col("o_custkey").alias("user_id"), (F.col("o_custkey") % 100).alias("blog_id"),
+        F.concat(F.lit("Blog <"), k.cast("string"), F.lit("> & more")).alias("name"),
+        F.when(live, "live").otherwise("setup").alias("status"), (F.col("o_orderstatus") == "P").alias("is_paused"),
+        F.when(live, F.col("o_orderdate")).alias("finished_setup_at"),
+        F.date_sub("o_orderdate", 1).cast("timestamp").alias("created_at"),
+        F.when(k % 7 == 0, F.date_add("o_orderdate", 90).cast("timestamp")).alias("final_item_published_at"),
+        F.when(k % 11 == 0, F.col("o_orderdate")).alias("discarded_at"), (k % 4).cast("int").alias("schedule_version"))
+
+
+def subscription_posts(lineitem: DataFrame) -> DataFrame:
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey")
+    sent = F.col("l_linestatus") == "F"
+    return lineitem.select(
+        key.alias("id"), F.col("l_orderkey").alias("subscription_id"), F.col("l_partkey").alias("blog_post_id"),
+        F.col("l_linenumber").alias("index"),
+        F.concat(F.lit("Post #"), F.col("l_partkey").cast("string"), F.lit(" Part & "), F.col("l_suppkey").cast("string")).alias("title"),
+        F.concat(F.lit("https://blog.example.com/"), F.col("l_partkey").cast("string")).alias("url"),
+        F.left(F.md5(key.cast("string")), F.lit(16)).alias("random_id"),
+        F.when(sent, F.col("l_shipdate")).alias("published_at"),
+        F.when(sent, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("published_at_local_date"))
+
+
+def schedules(orders: DataFrame) -> DataFrame:
+    days = F.array(*[F.lit(d) for d in ("sun", "mon", "tue", "wed", "thu", "fri", "sat")])
+    exploded = orders.select("o_orderkey", F.posexplode(days).alias("_d", "day_of_week"))
+    return exploded.select(F.col("o_orderkey").alias("subscription_id"), "day_of_week",
+                           ((F.col("o_orderkey") + F.col("_d")) % 3).cast("int").alias("count"))
+
+
+def users(customer: DataFrame) -> DataFrame:
+    zones = F.array(*[F.lit(z) for z in TIMEZONES])
+    channels = F.array(*[F.lit(c) for c in CHANNELS])
+    return customer.select(
+        F.col("c_custkey").alias("user_id"), F.element_at(zones, (F.col("c_nationkey") % 6 + 1).cast("int")).alias("timezone"),
+        F.element_at(channels, (F.col("c_custkey") % 3 + 1).cast("int")).alias("delivery_channel"))
+
+
+SUBSCRIPTIONS_SQL = """
+subs AS (SELECT o_orderkey AS id, o_custkey AS user_id, o_custkey % 100 AS blog_id, 'Blog <' || o_orderkey || '> & more' AS name,
+  CASE WHEN o_orderkey % 5 <> 0 THEN 'live' ELSE 'setup' END AS status, o_orderstatus = 'P' AS is_paused,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS finished_setup_at, o_orderdate - INTERVAL 1 DAY AS created_at,
+  CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate + INTERVAL 90 DAY END AS final_item_published_at,
+  CASE WHEN o_orderkey % 11 = 0 THEN o_orderdate END AS discarded_at, (o_orderkey % 4)::INT AS schedule_version FROM orders),
+posts AS (SELECT (l_orderkey * 10 + l_linenumber) * 10000000000 + l_partkey * 100000 + l_suppkey AS id, l_orderkey AS subscription_id,
+  l_partkey AS blog_post_id, l_linenumber AS index, 'Post #' || l_partkey || ' Part & ' || l_suppkey AS title,
+  'https://blog.example.com/' || l_partkey AS url,
+  left(md5(((l_orderkey * 10 + l_linenumber) * 10000000000 + l_partkey * 100000 + l_suppkey)::VARCHAR), 16) AS random_id,
+  CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS published_at,
+  CASE WHEN l_linestatus = 'F' THEN strftime(l_shipdate, '%Y-%m-%d') END AS published_at_local_date FROM lineitem),
+schedules AS (SELECT o_orderkey AS subscription_id, day_of_week, ((o_orderkey + d) % 3)::INT AS count FROM orders,
+  (VALUES (0, 'sun'), (1, 'mon'), (2, 'tue'), (3, 'wed'), (4, 'thu'), (5, 'fri'), (6, 'sat')) AS days(d, day_of_week)),
+users AS (SELECT c_custkey AS user_id,
+  ['America/Los_Angeles', 'Europe/Berlin', 'Asia/Tokyo', 'Pacific/Auckland', 'America/Sao_Paulo', 'UTC'][(c_nationkey % 6 + 1)::INT] AS timezone,
+  ['email', 'single_feed', 'multiple_feeds'][(c_custkey % 3 + 1)::INT] AS delivery_channel FROM customer),
+counts AS (SELECT subscription_id, count(published_at) AS published_count, count(*) AS total_count FROM posts GROUP BY 1)
+"""
