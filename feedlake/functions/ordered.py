@@ -52,15 +52,16 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: dict
     return stepped.withColumns({k: prev[k] for k in values}).drop("_chunk", "_prev", "_carry")
 
 
-def with_last_known(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column) -> DataFrame:
-    """Add ``values`` (new name -> column) carried forward over nulls, the current row included."""
+def with_last_known(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column,
+                    before: bool = False) -> DataFrame:
+    """Add ``values`` (new name -> column) carried forward over nulls; ``before`` leaves the current row out."""
     cut = df.withColumn("_chunk", chunk)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     ends = cut.groupBy(*keys, "_chunk").agg(
         *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_end_{k}") for k, v in values.items()])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *keys, "_chunk", *[F.last(f"_end_{k}", ignorenulls=True).over(before).alias(f"_carry_{k}") for k in values])
+        *keys, "_chunk", *[F.last(f"_end_{k}", ignorenulls=True).over(earlier).alias(f"_carry_{k}") for k in values])
     joined = cut.withColumns({f"_here_{k}": F.last(v, ignorenulls=True).over(local) for k, v in values.items()})
     joined = joined.join(carried, [*keys, "_chunk"])
     filled = joined.withColumns({k: F.coalesce(f"_here_{k}", f"_carry_{k}") for k in values})

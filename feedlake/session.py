@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings the operators assume (all are per-session SQL settings)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Stored timestamps are UTC wall-clock values; reading them as instants keeps comparisons with instants pushed down.
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
