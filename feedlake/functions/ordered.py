@@ -45,11 +45,11 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: dict
     cut = df.withColumn("_chunk", chunk)
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     row = F.struct(*[F.col(v).alias(k) for k, v in values.items()])
-    lasts = cut.groupBy(*keys, "_chunk").agg(F.max_by(row, F.struct(*order)).alias("_last"))
-    seen = lasts.select(*keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
-    stepped = cut.withColumn("_prev", F.lag(row).over(local)).join(seen, [*keys, "_chunk"])
-    prev = F.coalesce("_prev", "_carry")
-    return stepped.withColumns({k: prev[k] for k in values}).drop("_chunk", "_prev", "_carry")
+    lasts = cut.groupBy(*keys, "_chunk").agg(F.max_by(row, F.struct(*order)).alias("_ord_last"))
+    seen = lasts.select(*keys, "_chunk", F.lag("_ord_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_ord_carry"))
+    stepped = cut.withColumn("_ord_row", F.lag(row).over(local)).join(seen, [*keys, "_chunk"])
+    prev = F.coalesce("_ord_row", "_ord_carry")
+    return stepped.withColumns({k: prev[k] for k in values}).drop("_chunk", "_ord_row", "_ord_carry")
 
 
 def with_last_known(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column,

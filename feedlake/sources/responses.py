@@ -34,8 +34,8 @@ def decode_responses(responses: DataFrame) -> DataFrame:
     checked = typed.withColumn("_early", early)
     safe_charset = F.when(F.col("charset").isin(CHARSETS), F.col("charset")).otherwise("UTF-8")
     decoded = checked.withColumn("content", F.when(F.col("_early").isNull(), F.call_function("decode", F.col("body"), safe_charset)))
-    kinded = decoded.withColumn("kind", F.when(F.col("media_type") == "text/html", "page").when(
-        feed_kind(F.col("content")).isNotNull(), "feed"))
+    kind = F.when(F.col("media_type") == "text/html", "page").when(feed_kind(F.col("content")).isNotNull(), "feed")
+    kinded = decoded.withColumn("kind", F.when(F.col("_early").isNull(), kind))
     return kinded.withColumn("reject", F.coalesce("_early", F.when(F.col("kind").isNull(), F.lit("media_type")))).drop("_early", "body")
 
 
