@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from feedlake.functions import urls as U
 from feedlake.functions.ordered import position_chunk, with_row_number
 from feedlake.operators.urls import canonical_key, with_equality_key
+from feedlake.session import checkpointed
 
 LIST = ["feed_id"]
 
@@ -144,7 +145,9 @@ def new_posts_from_feeds(entries: DataFrame, posts: DataFrame, discarded: DataFr
     gone = linked(missing).select("feed_id", "key")
     expected = linked(posts).join(gone, ["feed_id", "key"], "left_anti")
     expected = with_row_number(expected, LIST, ["pos"], "_rank", position_chunk(F.col("pos"))).withColumn("seq_pos", F.col("_rank") - 1)
-    feed = except_keys(_keyed(entries, eq_cfg), linked(discarded))
+    # Both sides are read several times below.
+    expected = checkpointed(expected)
+    feed = checkpointed(except_keys(_keyed(entries, eq_cfg), linked(discarded)))
     counts = count_included(feed, expected).withColumn("n_new", F.col("n_entries") - F.col("n_included"))
     by_equality = feed.withColumn("key", F.col("eq_key"))
     suffix = sequence_is_suffix(by_equality, expected.select("feed_id", "seq_pos", F.col("eq_key").alias("key")))

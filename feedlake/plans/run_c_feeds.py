@@ -8,8 +8,8 @@ from feedlake.functions import urls as U
 from feedlake.functions.ordered import position_chunk, with_row_number
 from feedlake.operators import feeds as O
 from feedlake.operators import seqmatch as S
-from feedlake.operators import urls as L
 from feedlake.plans.registry import query
+from feedlake.session import checkpointed
 
 c = F.col
 
@@ -119,7 +119,8 @@ def raw_entries(t):
 
 
 def entries(t):
-    return O.bucket_entries(O.infer_feed_order(raw_entries(t)))
+    """The entry table is read many times by the matching queries, so it is materialised once."""
+    return checkpointed(O.bucket_entries(checkpointed(O.infer_feed_order(checkpointed(raw_entries(t))))))
 
 
 @query("c05_infer_feed_order", f"WITH {ENTRIES_SQL} SELECT feed_id, pos, key, order_certain FROM ordered")
@@ -132,9 +133,9 @@ def _(t):
     return entries(t).select("feed_id", "pos", "key", "bucket")
 
 
-def members(t):
+def members(e):
     """Half of the feeds lack the entries of every fifth key."""
-    return entries(t).where("feed_id % 2 = 0 or key % 5 <> 0").select("feed_id", "key")
+    return e.where("feed_id % 2 = 0 or key % 5 <> 0").select("feed_id", "key")
 
 
 MEMBERS_SQL = f"""{ENTRIES_SQL}, members AS (SELECT DISTINCT feed_id, key FROM entries WHERE feed_id % 2 = 0 OR key % 5 <> 0),
@@ -143,32 +144,36 @@ flagged AS (SELECT e.*, m.key IS NOT NULL AS included FROM entries e LEFT JOIN m
 
 @query("c07_filter_included", f"WITH {MEMBERS_SQL} SELECT feed_id, key, bucket, row_number() OVER (PARTITION BY feed_id ORDER BY pos) - 1 AS pos FROM flagged WHERE included")
 def _(t):
-    return S.filter_included(entries(t), members(t)).select("feed_id", "key", "bucket", "pos")
+    e = entries(t)
+    return S.filter_included(e, members(e)).select("feed_id", "key", "bucket", "pos")
 
 
 @query("c07_except_keys", f"WITH {MEMBERS_SQL} SELECT feed_id, key, bucket, row_number() OVER (PARTITION BY feed_id ORDER BY pos) - 1 AS pos FROM flagged WHERE NOT included")
 def _(t):
-    return S.except_keys(entries(t), members(t)).select("feed_id", "key", "bucket", "pos")
+    e = entries(t)
+    return S.except_keys(e, members(e)).select("feed_id", "key", "bucket", "pos")
 
 
 @query("c07_count_included", f"WITH {MEMBERS_SQL} SELECT feed_id, count(*) AS n_entries, count(*) FILTER (WHERE included) AS n_included, bool_and(included) AS all_included FROM flagged GROUP BY 1")
 def _(t):
-    return S.count_included(entries(t), members(t))
+    e = entries(t)
+    return S.count_included(e, members(e))
 
 
 @query("c08_included_prefix_length", f"""WITH {MEMBERS_SQL}, b AS (SELECT feed_id, bucket, count(*) AS n, count(*) FILTER (WHERE included) AS k FROM flagged GROUP BY 1, 2),
     s AS (SELECT feed_id, min(bucket) FILTER (WHERE k < n) AS stop FROM b GROUP BY 1)
     SELECT feed_id, sum(k)::BIGINT AS prefix_length FROM b JOIN s USING (feed_id) WHERE stop IS NULL OR bucket <= stop GROUP BY 1""")
 def _(t):
-    return S.included_prefix_length(entries(t), members(t))
+    e = entries(t)
+    return S.included_prefix_length(e, members(e))
 
 
-def candidates(t):
+def candidates(e):
     """Lists made from the feeds: in bucket order for two thirds, else by key; every fourth starts one entry late."""
     lead = F.when(c("feed_id") % 3 == 2, 0).otherwise(c("bucket"))
-    rows = entries(t).where(~((c("feed_id") % 4 == 0) & (c("pos") == 0))).select("feed_id", lead.alias("_lead"), "key", "pos")
+    rows = e.where(~((c("feed_id") % 4 == 0) & (c("pos") == 0))).select("feed_id", lead.alias("_lead"), "key", "pos")
     ranked = with_row_number(rows, ["feed_id"], ["_lead", c("key").desc(), "pos"], "_n", position_chunk(c("_lead")))
-    return ranked.select("feed_id", (c("_n") - 1).alias("seq_pos"), "key")
+    return checkpointed(ranked.select("feed_id", (c("_n") - 1).alias("seq_pos"), "key"))
 
 
 SEQ_SQL = f"""{ENTRIES_SQL}, seq AS (SELECT feed_id, key, row_number() OVER (PARTITION BY feed_id ORDER BY CASE WHEN feed_id % 3 = 2 THEN 0 ELSE bucket END, key DESC, pos) - 1 AS seq_pos
@@ -180,7 +185,8 @@ in_bucket AS (SELECT DISTINCT feed_id, bucket, key FROM entries), feeds AS (SELE
       LEFT JOIN in_bucket i ON i.feed_id = s.feed_id AND i.bucket = e.bucket AND i.key = s.key)
     SELECT f.feed_id, coalesce(bool_and(hit), true) AS is_match, count(*) FILTER (WHERE hit) AS n_matched FROM feeds f LEFT JOIN placed p USING (feed_id) GROUP BY 1""")
 def _(t):
-    return S.sequence_match(entries(t), candidates(t))
+    e = entries(t)
+    return S.sequence_match(e, candidates(e))
 
 
 @query("c10_match_except_first", f"""WITH {SEQ_SQL}, fb AS (SELECT e.feed_id, e.bucket, count(*) AS b FROM entries e JOIN (SELECT feed_id, min(bucket) AS bucket FROM entries GROUP BY 1) m USING (feed_id, bucket) GROUP BY 1, 2),
@@ -195,7 +201,8 @@ def _(t):
       FROM feeds f JOIN fb USING (feed_id) LEFT JOIN lens USING (feed_id) LEFT JOIN wrong USING (feed_id) LEFT JOIN spare USING (feed_id) LEFT JOIN tail USING (feed_id))
     SELECT feed_id, is_match, CASE WHEN is_match AND n > 1 THEN first_key END AS first_key FROM r""")
 def _(t):
-    return S.match_except_first(entries(t), candidates(t))
+    e = entries(t)
+    return S.match_except_first(e, candidates(e))
 
 
 @query("c11_sequence_is_suffix", f"""WITH {SEQ_SQL}, st AS (SELECT e.feed_id, min(bucket) AS start FROM entries e JOIN seq s ON s.feed_id = e.feed_id AND s.key = e.key AND seq_pos = 0 GROUP BY 1),
@@ -206,15 +213,16 @@ def _(t):
     r AS (SELECT f.feed_id, start IS NOT NULL AND coalesce(follows, true) AS ok, run, nxt, hits FROM feeds f LEFT JOIN nx USING (feed_id) LEFT JOIN rn USING (feed_id) LEFT JOIN tail USING (feed_id))
     SELECT feed_id, ok AS is_suffix, CASE WHEN ok THEN run + coalesce(hits, 0) END AS n_matched, CASE WHEN ok THEN nxt - run END AS prefix_length FROM r""")
 def _(t):
-    return S.sequence_is_suffix(entries(t), candidates(t))
+    e = entries(t)
+    return S.sequence_is_suffix(e, candidates(e))
 
 
 def linked_entries(t):
     """Feed entries as links; stored posts are the feed without its newest entries, in feed order for most feeds."""
     url = F.concat(F.lit("https://f"), text(c("feed_id") % 97), F.lit(".example.com/p/"), text(c("pos")))
     rows = entries(t).withColumns({"link_url": url, "title": F.concat(F.lit("Post "), text(c("pos")))}).drop("key")
-    return U.with_canonical(rows, "link_url", prefix="_x").select(
-        "feed_id", "pos", "bucket", "title", "link_url", F.col("_xparts").alias("parts"))
+    return checkpointed(U.with_canonical(rows, "link_url", prefix="_x").select(
+        "feed_id", "pos", "bucket", "title", "link_url", F.col("_xparts").alias("parts")))
 
 
 def stored(t):
@@ -253,7 +261,8 @@ def _(t):
 
 @query("c13_discarded_entries", f"WITH {MEMBERS_SQL} SELECT feed_id, pos, key FROM flagged WHERE NOT included")
 def _(t):
-    return O.discarded_entries(entries(t), members(t)).select("feed_id", "pos", "key")
+    e = entries(t)
+    return O.discarded_entries(e, members(e)).select("feed_id", "pos", "key")
 
 
 @query("c14_missing_from_feed", f"""WITH {ENTRIES_SQL}, posts AS (SELECT feed_id, pos + 1 AS pos, key FROM entries UNION ALL SELECT feed_id, 1000 + pos, key + 100 FROM entries UNION ALL SELECT feed_id, 0, -1 FROM entries WHERE pos = 0),
