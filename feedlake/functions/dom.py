@@ -12,7 +12,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 
-NODE_SCHEMA = ("page_id long, seq int, kind string, xpath string, class_xpath string, href string, rel string, "
+NODE_SCHEMA = ("page_id long, page_url string, seq int, kind string, xpath string, class_xpath string, href string, rel string, "
                "label string, value string, is_empty boolean")
 
 # Elements without content, end tags a start tag implies, and how class names are escaped in positions.
@@ -91,15 +91,16 @@ class _Nodes(HTMLParser):
 
 
 def page_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``mapInPandas`` body: ``(page_id, html)`` to node rows, page by page so that memory stays at one page."""
+    """``mapInPandas`` body: ``(page_id, url, html)`` to node rows, page by page so that memory stays at one page."""
     names = ["kind", "xpath", "class_xpath", "href", "rel", "label", "value", "is_empty"]
     for batch in batches:
-        for page_id, html in zip(batch["page_id"], batch["html"]):
+        for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
             parser = _Nodes()
             parser.feed(html or "")
             parser.close()
             if parser.rows:
                 frame = pd.DataFrame(parser.rows, columns=names)
                 frame.insert(0, "seq", range(len(frame)))
+                frame.insert(0, "page_url", url)
                 frame.insert(0, "page_id", page_id)
                 yield frame

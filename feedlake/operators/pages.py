@@ -16,8 +16,8 @@ YEAR_ARCHIVE_PATTERN = r"/\d\d\d\d(/\d\d)?(/\d\d)?$"
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """Positions of links, texts, times and meta tags of ``pages(page_id, html)``."""
-    return pages.select("page_id", "html").mapInPandas(page_nodes, NODE_SCHEMA)
+    """Positions of links, texts, times and meta tags of ``pages(page_id, url, html)``."""
+    return pages.select("page_id", "url", "html").mapInPandas(page_nodes, NODE_SCHEMA)
 
 
 def canonical_xpath(path: Column) -> Column:
@@ -37,23 +37,24 @@ def class_token(classes: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(names, escaped)), ",")
 
 
-def page_links(pages: DataFrame, redirects: DataFrame | None = None, hosts: list[str] | None = None,
-               page_node_rows: DataFrame | None = None) -> DataFrame:
-    """Links of ``pages(page_id, url, html)`` in order: anchors, ``rel=next``, ``rel=prev``, areas; document order inside.
+def page_links(pages: DataFrame, redirects: DataFrame | None = None, hosts: list[str] | None = None) -> DataFrame:
+    """Links of pages in order: anchors, ``rel=next``, ``rel=prev``, areas; document order inside.
 
     Empty anchors without a label are left out. ``redirects(source, target)`` (resolved) replace link targets; ``hosts``
     keeps links to these hosts only. The order column ``pos`` has gaps.
     """
-    found = nodes(pages) if page_node_rows is None else page_node_rows
+    return links_of_nodes(nodes(pages), redirects, hosts)
+
+
+def links_of_nodes(found: DataFrame, redirects: DataFrame | None = None, hosts: list[str] | None = None) -> DataFrame:
     kind = (
         F.when(F.col("kind") == "a", 0).when((F.col("kind") == "link") & (F.col("rel") == "next"), 1)
         .when((F.col("kind") == "link") & (F.col("rel") == "prev"), 2).when(F.col("kind") == "area", 3)
     )
     hidden = (F.col("kind") == "a") & F.col("is_empty") & (F.coalesce("label", F.lit("")) == "")
     rows = found.where(kind.isNotNull() & F.col("href").isNotNull() & ~hidden).select(
-        "page_id", (kind.cast("long") * 1_000_000_000 + F.col("seq")).alias("pos"), "xpath", "class_xpath", "href", F.col("value").alias("text"))
-    based = rows.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
-    links = U.with_canonical(based, "href", "page_url").where("reject is null")
+        "page_id", "page_url", (kind.cast("long") * 1_000_000_000 + F.col("seq")).alias("pos"), "xpath", "class_xpath", "href", F.col("value").alias("text"))
+    links = U.with_canonical(rows, "href", "page_url").where("reject is null")
     if redirects is not None:
         moved = redirects.select(F.col("source").alias("link_url"), F.col("target").alias("_target"))
         joined = links.join(moved, "link_url", "left").drop("reject", "parts", "canonical", "key")
