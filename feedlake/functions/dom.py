@@ -24,6 +24,7 @@ IMPLIED_END = {
 }
 CLASS_ESCAPES = {"/": "%2F", "[": "%5B", "]": "%5D", "(": "%28", ")": "%29"}
 POST_CLASS = re.compile(r"^post-\d+$")
+OUTPUT_ROWS = 20_000
 KEPT = {"a", "area", "link", "time", "meta"}
 
 
@@ -91,16 +92,17 @@ class _Nodes(HTMLParser):
 
 
 def page_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``mapInPandas`` body: ``(page_id, url, html)`` to node rows, page by page so that memory stays at one page."""
-    names = ["kind", "xpath", "class_xpath", "href", "rel", "label", "value", "is_empty"]
+    """``mapInPandas`` body: ``(page_id, url, html)`` to node rows, handed on whenever enough rows have come together."""
+    names = ["page_id", "page_url", "seq", "kind", "xpath", "class_xpath", "href", "rel", "label", "value", "is_empty"]
+    rows = []
     for batch in batches:
         for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
             parser = _Nodes()
             parser.feed(html or "")
             parser.close()
-            if parser.rows:
-                frame = pd.DataFrame(parser.rows, columns=names)
-                frame.insert(0, "seq", range(len(frame)))
-                frame.insert(0, "page_url", url)
-                frame.insert(0, "page_id", page_id)
-                yield frame
+            rows.extend([page_id, url, seq, *row] for seq, row in enumerate(parser.rows))
+            if len(rows) >= OUTPUT_ROWS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=names)

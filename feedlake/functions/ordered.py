@@ -23,16 +23,16 @@ def _columns(order) -> list[Column]:
 
 def with_running_sum(df: DataFrame, keys: list[str], order: list, value: Column, out: str, chunk: Column) -> DataFrame:
     """``out`` = sum of ``value`` over the key's rows up to and including this one. ``order`` must be total."""
-    cut = df.withColumn("_chunk", chunk).withColumn("_value", value)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
-    totals = cut.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    cut = df.withColumn("_ord_chunk", chunk).withColumn("_ord_value", value)
+    local = Window.partitionBy(*keys, "_ord_chunk").orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy(*keys, "_ord_chunk").agg(F.sum("_ord_value").alias("_ord_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_ord_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_ord_chunk", F.coalesce(F.sum("_ord_total").over(earlier), F.lit(0)).alias("_ord_before"))
     return (
-        cut.withColumn("_local", F.sum("_value").over(local))
-        .join(offsets, [*keys, "_chunk"])
-        .withColumn(out, F.col("_local") + F.col("_before"))
-        .drop("_chunk", "_value", "_local", "_before")
+        cut.withColumn("_ord_local", F.sum("_ord_value").over(local))
+        .join(offsets, [*keys, "_ord_chunk"])
+        .withColumn(out, F.col("_ord_local") + F.col("_ord_before"))
+        .drop("_ord_chunk", "_ord_value", "_ord_local", "_ord_before")
     )
 
 
@@ -42,36 +42,36 @@ def with_row_number(df: DataFrame, keys: list[str], order: list, out: str, chunk
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column) -> DataFrame:
     """Add ``values`` (new name -> column) as seen on the previous row of the key; null on its first row."""
-    cut = df.withColumn("_chunk", chunk)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    cut = df.withColumn("_ord_chunk", chunk)
+    local = Window.partitionBy(*keys, "_ord_chunk").orderBy(*order)
     row = F.struct(*[F.col(v).alias(k) for k, v in values.items()])
-    lasts = cut.groupBy(*keys, "_chunk").agg(F.max_by(row, F.struct(*order)).alias("_ord_last"))
-    seen = lasts.select(*keys, "_chunk", F.lag("_ord_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_ord_carry"))
-    stepped = cut.withColumn("_ord_row", F.lag(row).over(local)).join(seen, [*keys, "_chunk"])
+    lasts = cut.groupBy(*keys, "_ord_chunk").agg(F.max_by(row, F.struct(*order)).alias("_ord_last"))
+    seen = lasts.select(*keys, "_ord_chunk", F.lag("_ord_last").over(Window.partitionBy(*keys).orderBy("_ord_chunk")).alias("_ord_carry"))
+    stepped = cut.withColumn("_ord_row", F.lag(row).over(local)).join(seen, [*keys, "_ord_chunk"])
     prev = F.coalesce("_ord_row", "_ord_carry")
-    return stepped.withColumns({k: prev[k] for k in values}).drop("_chunk", "_ord_row", "_ord_carry")
+    return stepped.withColumns({k: prev[k] for k in values}).drop("_ord_chunk", "_ord_row", "_ord_carry")
 
 
 def with_last_known(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], chunk: Column,
                     before: bool = False) -> DataFrame:
     """Add ``values`` (new name -> column) carried forward over nulls; ``before`` leaves the current row out."""
-    cut = df.withColumn("_chunk", chunk)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    ends = cut.groupBy(*keys, "_chunk").agg(
+    cut = df.withColumn("_ord_chunk", chunk)
+    local = Window.partitionBy(*keys, "_ord_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    ends = cut.groupBy(*keys, "_ord_chunk").agg(
         *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_end_{k}") for k, v in values.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_ord_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *keys, "_chunk", *[F.last(f"_end_{k}", ignorenulls=True).over(earlier).alias(f"_carry_{k}") for k in values])
+        *keys, "_ord_chunk", *[F.last(f"_end_{k}", ignorenulls=True).over(earlier).alias(f"_carry_{k}") for k in values])
     joined = cut.withColumns({f"_here_{k}": F.last(v, ignorenulls=True).over(local) for k, v in values.items()})
-    joined = joined.join(carried, [*keys, "_chunk"])
+    joined = joined.join(carried, [*keys, "_ord_chunk"])
     filled = joined.withColumns({k: F.coalesce(f"_here_{k}", f"_carry_{k}") for k in values})
-    return filled.drop("_chunk", *[f"_here_{k}" for k in values], *[f"_carry_{k}" for k in values])
+    return filled.drop("_ord_chunk", *[f"_here_{k}" for k in values], *[f"_carry_{k}" for k in values])
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key, first in ``order``. The rank limit prunes each partition before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*_columns(order)))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return df.withColumn("_ord_rank", rank).where("_ord_rank = 1").drop("_ord_rank")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
@@ -81,10 +81,10 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, out: str =
 
 def with_max_before(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, chunk: Column) -> DataFrame:
     """``out`` = largest ``value`` on the earlier rows of the key; null on its first row."""
-    cut = df.withColumn("_chunk", chunk)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    tops = cut.groupBy(*keys, "_chunk").agg(F.max(value).alias("_top"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(*keys, "_chunk", F.max("_top").over(earlier).alias("_carry"))
-    joined = cut.withColumn("_here", F.max(value).over(local)).join(carried, [*keys, "_chunk"])
-    return joined.withColumn(out, F.greatest("_here", "_carry")).drop("_chunk", "_here", "_carry")
+    cut = df.withColumn("_ord_chunk", chunk)
+    local = Window.partitionBy(*keys, "_ord_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(*keys, "_ord_chunk").agg(F.max(value).alias("_ord_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_ord_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "_ord_chunk", F.max("_ord_top").over(earlier).alias("_ord_carry"))
+    joined = cut.withColumn("_ord_here", F.max(value).over(local)).join(carried, [*keys, "_ord_chunk"])
+    return joined.withColumn(out, F.greatest("_ord_here", "_ord_carry")).drop("_ord_chunk", "_ord_here", "_ord_carry")
