@@ -32,9 +32,13 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
-def _present(text: Column, pattern: str, outer: int, inner: int) -> Column:
-    """The inner group, or null when the outer (delimited) group did not take part."""
-    return F.when(_part(text, pattern, outer) != "", _part(text, pattern, inner))
+# A noncharacter, which no text holds, keeps the parts of one match apart.
+_CUT = "\uffff"
+
+
+def _cut(text: Column, pattern: str, groups: list[int]) -> Column:
+    """All wanted groups of a whole-text pattern from a single match, as an array; a missing group is empty."""
+    return F.split(F.regexp_replace(text, pattern, _CUT.join(f"${g}" for g in groups)), _CUT)
 
 
 def percent_decoded(text: Column) -> Column:
@@ -87,42 +91,39 @@ def with_canonical(df: DataFrame, url: str, base: str | None = None, prefix: str
     c = F.col
     kept = df.columns
     base_col = F.lit(None).cast("string") if base is None else c(f"`{base}`")
-    stripped = F.regexp_replace(F.regexp_replace(c(f"`{url}`"), f"(?i)^{BLANKS}", ""), f"(?i){BLANKS}$", "")
+    href = c(f"`{url}`")
+    # Only an end that is a blank, or the last letter of an encoded one, is worth the search for a run of them.
+    padded = href.rlike(r"^[\s\x00%]") | href.rlike(r"[\s\x0009abcdABCD]$")
+    stripped = F.when(padded, F.regexp_replace(F.regexp_replace(href, f"(?i)^{BLANKS}", ""), f"(?i){BLANKS}$", "")).otherwise(href)
     one = df.select(*[c(f"`{k}`") for k in kept], base_col.alias("_base"),
                     F.replace(stripped, F.lit("\n"), F.lit("")).alias("_text"))
     two = one.withColumns({"_plain": c("_text").rlike(PLAIN_URL)})
     three = two.withColumns({
         "_raw": F.split(F.when(c("_plain"), c("_text")).otherwise(percent_decoded(c("_text"))), "#", 2)[0]
     })
-    four = three.withColumns({
-        "_scheme": _part(c("_raw"), RFC3986, 2),
-        "_slashes": _part(c("_raw"), RFC3986, 3) != "",
-        "_authority": _part(c("_raw"), RFC3986, 4),
-        "_path": _part(c("_raw"), RFC3986, 5),
-    })
-    five = four.withColumns({
+    four = three.withColumns({"_p": _cut(c("_raw"), RFC3986, [2, 3, 4, 5]), "_b": _cut(c("_base"), RFC3986, [2, 4, 5])})
+    named = four.select(
+        *[c(f"`{k}`") for k in kept], "_plain", "_raw", c("_base").isNull().alias("_no_base"), c("_p")[0].alias("_scheme"),
+        (c("_p")[1] != "").alias("_slashes"), c("_p")[3].alias("_path"), _cut(c("_p")[2], AUTHORITY, [2, 3, 4]).alias("_a"),
+        F.lower(c("_b")[0]).alias("_base_scheme"), c("_b")[1].alias("_base_authority"), c("_b")[2].alias("_base_path"))
+    five = named.withColumns({
         "_early": F.when(c("_raw").isNull(), "empty")
         .when(~c("_plain") & c("_raw").startswith(":"), "colon")
         .when(c("_raw").startswith("mailto:"), "mailto")
         .when((c("_scheme") != "") & ~c("_scheme").rlike(r"^[A-Za-z][A-Za-z0-9.+\-]*$"), "scheme")
-        .when(c("_slashes") & _part(c("_authority"), AUTHORITY, 2).rlike(r'[<>{}\\"\s^`|]'), "host")
-        .when(c("_slashes") & (_part(c("_authority"), AUTHORITY, 3) != "")
-              & ~_part(c("_authority"), AUTHORITY, 4).rlike(r"^\d*$"), "port")
+        .when(c("_slashes") & c("_a")[0].rlike(r'[<>{}\\"\s^`|]'), "host")
+        .when(c("_slashes") & (c("_a")[1] != "") & ~c("_a")[2].rlike(r"^\d*$"), "port")
         .when((c("_scheme") != "") & ~c("_slashes") & (c("_path") == ""), "no_path"),
         "_full": F.when(c("_plain"), c("_raw")).otherwise(percent_encoded(c("_raw"), "?")),
     })
-    six = five.select(
-        *[c(f"`{k}`") for k in kept], "_early", "_slashes",
-        F.lower(c("_scheme")).alias("_scheme"),
+    cut = five.withColumn("_f", _cut(c("_full"), RFC3986, [4, 5, 6, 7]))
+    six = cut.select(
+        *[c(f"`{k}`") for k in kept], "_early", "_slashes", F.lower(c("_scheme")).alias("_scheme"),
         # A bracketed host is the one place where encoded brackets come back.
-        F.regexp_replace(F.regexp_replace(_part(c("_full"), RFC3986, 4), "^%5B", "["), "%5D", "]").alias("_authority"),
-        _part(c("_full"), RFC3986, 5).alias("_path"),
-        _present(c("_full"), RFC3986, 6, 7).alias("_query"),
-        F.lower(_part(c("_base"), RFC3986, 2)).alias("_base_scheme"),
-        _part(c("_base"), RFC3986, 4).alias("_base_authority"),
-        _part(c("_base"), RFC3986, 5).alias("_base_path"),
-        c("_base").isNull().alias("_no_base"),
-    )
+        F.when(c("_f")[0].startswith("%5B"), F.replace(F.replace(c("_f")[0], F.lit("%5B"), F.lit("[")), F.lit("%5D"), F.lit("]"))).otherwise(
+            c("_f")[0]).alias("_authority"),
+        c("_f")[1].alias("_path"), F.when(c("_f")[2] != "", c("_f")[3]).alias("_query"),
+        "_base_scheme", "_base_authority", "_base_path", "_no_base")
     relative = c("_scheme") == ""
     seven = six.select(
         *[c(f"`{k}`") for k in kept], "_early", "_slashes", "_no_base", "_query", relative.alias("_relative"),
@@ -130,11 +131,8 @@ def with_canonical(df: DataFrame, url: str, base: str | None = None, prefix: str
         F.when(relative, c("_base_authority")).otherwise(c("_authority")).alias("_authority"),
         F.when(relative, _resolved_path(c("_base_path"), c("_path"))).otherwise(c("_path")).alias("_path"),
     )
-    eight = seven.withColumns({
-        "_userinfo": _part(c("_authority"), AUTHORITY, 1),
-        "_host": _part(c("_authority"), AUTHORITY, 2),
-        "_port": _part(c("_authority"), AUTHORITY, 4),
-    })
+    parted = seven.withColumn("_h", _cut(c("_authority"), AUTHORITY, [1, 2, 4]))
+    eight = parted.withColumns({"_userinfo": c("_h")[0], "_host": c("_h")[1], "_port": c("_h")[2]})
     default = ((c("_scheme") == "http") & (c("_port") == "80")) | ((c("_scheme") == "https") & (c("_port") == "443"))
     nine = eight.withColumns({
         "_reject": F.when(c("_early").isNotNull(), c("_early"))
