@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions import urls as U
+from feedlake.functions.dates import text_date
 from feedlake.functions.ordered import first_per_key, position_chunk, with_row_number
-from feedlake.operators.seqmatch import sequence_match
+from feedlake.operators.seqmatch import filter_included, match_except_first, sequence_match
+from feedlake.session import checkpointed
 
 
 # How many entries of a feed a page or list must share with it to count as an almost full match.
@@ -212,9 +214,6 @@ def sort_by_page_dates(lists: DataFrame, dates: DataFrame) -> DataFrame:
 
 def agrees_with_feed(lists: DataFrame, entries: DataFrame) -> DataFrame:
     """Does a sorted list ``(feed_id, seq_pos, key)`` keep the order of the feed entries it holds? True for uncertain feeds."""
-    from feedlake.operators.seqmatch import filter_included
-    from feedlake.session import checkpointed
-
     present = checkpointed(filter_included(entries, lists))
     matched = sequence_match(present, lists)
     certain = entries.groupBy("feed_id").agg(F.bool_or("order_certain").alias("_certain"))
@@ -245,3 +244,36 @@ def apply_curated_categories(posts: DataFrame, curated: DataFrame) -> tuple[Data
     assigned = keyed.join(keyed_posts, ["site", "key"]).select("site", "category", "is_top", "url")
     unknown = keyed.join(keyed_posts, ["site", "key"], "left_anti").select("site", "category", F.col("curated_url").alias("url"))
     return assigned, unknown
+
+
+def detect_page1(groups: DataFrame, entries: DataFrame, page2: DataFrame) -> DataFrame:
+    """Groups of a first page that open the feed, or open it after one leading entry: ``page_size`` and the page's promise.
+
+    ``page2(page_id, key)`` is the link to page two, without which a page is no first page; a group must not hold it, nor any
+    link twice. The promised size of the whole list is twice the largest page plus one.
+    """
+    shapes = _shapes(groups, entries).where("n_links = n_distinct")
+    holding = groups.join(page2, ["page_id", "key"], "left_semi").withColumn("group_id", _group_id()).select("group_id").distinct()
+    open_groups = shapes.join(page2.select("page_id"), "page_id", "left_semi").join(holding, "group_id", "left_anti")
+    ided = groups.withColumn("feed_id", _group_id())
+    seq = with_row_number(ided.select("feed_id", "pos", "key"), ["feed_id"], ["pos"], "_n", position_chunk(F.col("pos")))
+    seq = checkpointed(seq.select("feed_id", (F.col("_n") - 1).alias("seq_pos"), "key"))
+    per_group = checkpointed(ided.select("feed_id", "page_id").distinct().join(entries, "page_id").select("feed_id", "pos", "bucket", "key"))
+    full = sequence_match(per_group, seq).where("is_match").select(F.col("feed_id").alias("group_id"), F.lit(True).alias("includes_newest"))
+    partial = match_except_first(per_group, seq).where("is_match and first_key is not null").select(
+        F.col("feed_id").alias("group_id"), F.lit(False).alias("includes_newest"))
+    both = full.unionByName(partial).groupBy("group_id").agg(F.bool_or("includes_newest").alias("includes_newest"))
+    found = open_groups.join(both, "group_id").withColumn("page_size", F.col("n_links") + (~F.col("includes_newest")).cast("int"))
+    tops = found.groupBy("page_id").agg((F.max("page_size") * 2 + 1).alias("speculative"))
+    return found.join(tops, "page_id").select("page_id", "stars", "mask", "page_size", "includes_newest", "speculative")
+
+
+def sort_with_pinned(lists: DataFrame, pinned: DataFrame, guess_year: Column) -> DataFrame:
+    """Put the pinned entry of a dated list in its place: ``lists(blog_id, pos, key, date)``, ``pinned(blog_id, key, text)``.
+
+    The pinned entry's date is read from its text, the year guessed where it is missing; undatable ones are left out.
+    """
+    placed = pinned.select("blog_id", F.lit(-1).cast("long").alias("pos"), "key", text_date(F.col("text"), guess_year).alias("date"))
+    merged = lists.select("blog_id", "pos", "key", "date").unionByName(placed.where("date is not null"))
+    ranked = with_row_number(merged.withColumn("_age", -F.unix_date("date")), ["blog_id"], ["_age", "pos"], "_i", F.floor(F.col("_age") / 365))
+    return ranked.select("blog_id", (F.col("_i") - 1).alias("index"), "key", "date")

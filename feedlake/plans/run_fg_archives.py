@@ -293,3 +293,28 @@ def _(t):
     posts = t.orders.where("o_orderkey % 3 <> 0").select(c("o_custkey").alias("site"), F.concat(url, F.lit("/")).alias("url"))
     curated = t.orders.where("o_orderkey % 2 = 0").select(c("o_custkey").alias("site"), c("o_orderpriority").alias("category"), F.lit(True).alias("is_top"), url.alias("url"))
     return G.apply_curated_categories(posts, curated)[0].select("site", "category", "url")
+
+
+@query("g13_detect_page1", f"""WITH {PAGES_SQL}, n AS (SELECT page_id, any_value(n) AS n FROM placed WHERE page_id % 10 > 1 GROUP BY 1),
+    r AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 3 WHEN page_id % 2 = 0 THEN least(n, 3) ELSE n END AS page_size, page_id % 3 <> 0 AS includes_newest FROM n WHERE n > 1 AND (page_id % 3 <> 0 OR n = 2))
+    SELECT page_id, 1 AS stars, '/html[1]/body[1]/main[1]/section[1]/ul[1]/li[*]/a[1]' AS mask, page_size, includes_newest, page_size * 2 + 1 AS speculative FROM r""")
+def _(t):
+    _lines, _nodes, feed, links = mined(t)
+    groups = checkpointed(M.mask_groups(links, 1).select("page_id", "mask", "stars", "pos", "key"))
+    k = c("page_id")
+    target = F.when(k % 10 == 0, F.concat(F.lit("b"), text(k), F.lit(".example.com//p/"), text(k), F.lit("-2?"))).otherwise("page2")
+    page2 = feed.where("page_id % 10 <> 1").select("page_id").distinct().withColumn("key", target)
+    return G.detect_page1(groups, feed, page2)
+
+
+@query("g17_sort_with_pinned", """WITH r AS (SELECT o_custkey AS blog_id, o_orderkey AS pos, o_orderkey AS key, o_orderdate::DATE AS date FROM orders),
+    p AS (SELECT c_custkey, make_date(1998, (c_custkey % 12 + 1)::INT, (c_custkey % 28 + 1)::INT) AS date FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey % 5 <> 0),
+    m AS (SELECT * FROM r UNION ALL SELECT c_custkey, -1, -1, date FROM p)
+    SELECT blog_id, key, strftime(date, '%Y-%m-%d') AS date, row_number() OVER (PARTITION BY blog_id ORDER BY date DESC, pos) - 1 AS index FROM m""")
+def _(t):
+    lists = t.orders.select(c("o_custkey").alias("blog_id"), c("o_orderkey").alias("pos"), c("o_orderkey").alias("key"), F.to_date("o_orderdate").alias("date"))
+    k = c("blog_id")
+    day = F.make_date(F.lit(1998), (k % 12 + 1).cast("int"), (k % 28 + 1).cast("int"))
+    pinned = lists.select("blog_id").distinct().select("blog_id", F.lit(-1).cast("long").alias("key"), F.when(k % 5 == 0, "no date").otherwise(
+        F.concat(F.lit("Pinned, "), F.date_format(day, "MMMM d"))).alias("text"))
+    return G.sort_with_pinned(lists, pinned, F.lit(1998)).select("blog_id", "key", F.date_format("date", "yyyy-MM-dd").alias("date"), "index")

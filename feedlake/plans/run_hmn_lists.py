@@ -12,6 +12,7 @@ from feedlake.plans.registry import query
 from feedlake.sources import adapters as A
 from feedlake.sources import lines as L
 from feedlake.sources import responses as R
+from feedlake.sources import tables as S
 
 c = F.col
 
@@ -460,6 +461,12 @@ def _(t):
 
 # Readers and sinks.
 
+@query("a01_conform_tables", f"""WITH {A.SUBSCRIPTIONS_SQL} SELECT id, subscription_id, blog_post_id, random_id, strftime(published_at, '%Y-%m-%d') AS published_at, published_at_local_date, NULL::VARCHAR AS publish_status FROM posts""")
+def _(t):
+    rows = S.conform(A.subscription_posts(t.lineitem), "subscription_posts")
+    return rows.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd"))
+
+
 @query("a02_decode_responses", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'status' WHEN 4 THEN 'charset' WHEN 5 THEN 'media_type' END AS reject,
     CASE page_id % 6 WHEN 1 THEN 'UTF-8' WHEN 2 THEN 'UTF-16' WHEN 3 THEN 'UTF-8' WHEN 4 THEN 'KLINGON' ELSE 'UTF-8' END AS charset,
     CASE WHEN page_id % 6 IN (1, 2) THEN 'page' WHEN page_id % 6 = 3 THEN 'feed' END AS kind, CASE WHEN page_id % 6 IN (1, 2) THEN md5(html) END AS content_md5 FROM pages""")
