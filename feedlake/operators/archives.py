@@ -277,3 +277,26 @@ def sort_with_pinned(lists: DataFrame, pinned: DataFrame, guess_year: Column) ->
     merged = lists.select("blog_id", "pos", "key", "date").unionByName(placed.where("date is not null"))
     ranked = with_row_number(merged.withColumn("_age", -F.unix_date("date")), ["blog_id"], ["_age", "pos"], "_i", F.floor(F.col("_age") / 365))
     return ranked.select("blog_id", (F.col("_i") - 1).alias("index"), "key", "date")
+
+
+def detect_page2(page1: DataFrame, page2: DataFrame, entries: DataFrame) -> DataFrame:
+    """Second pages that go on where the first page ends: ``page1`` and ``page2`` hold ``(feed_id, mask, pos, key)``.
+
+    The same mask must be on both pages. Page two repeats no link, neither its own nor one of page one, and follows the feed
+    from the end of page one. Gives the size of both pages.
+    """
+    def ided(df: DataFrame) -> DataFrame:
+        return df.withColumn("group_id", F.concat_ws("|", F.col("feed_id").cast("string"), "mask"))
+
+    first, second = ided(page1), ided(page2)
+    sizes = first.groupBy("group_id").agg(F.count("*").alias("size1"))
+    seconds = second.groupBy("group_id", "feed_id", "mask").agg(F.count("*").alias("size2"), F.count_distinct("key").alias("_d"))
+    shared = second.join(first.select("group_id", "key"), ["group_id", "key"], "left_semi").select("group_id").distinct()
+    open_groups = seconds.where("size2 = _d").join(sizes, "group_id").join(shared, "group_id", "left_anti")
+    seq = with_row_number(second.select("group_id", "pos", "key"), ["group_id"], ["pos"], "_n", position_chunk(F.col("pos")))
+    seq = seq.join(sizes, "group_id").select(F.col("group_id").alias("feed_id"), (F.col("_n") - 1).alias("seq_pos"), "key", "size1")
+    per_group = open_groups.select("group_id", "feed_id").join(entries, "feed_id").select(
+        F.col("group_id").alias("feed_id"), "pos", "bucket", "key")
+    follows = sequence_match(checkpointed(per_group), checkpointed(seq), F.col("size1")).where("is_match").select(
+        F.col("feed_id").alias("group_id"))
+    return open_groups.join(follows, "group_id", "left_semi").select("feed_id", "mask", "size1", "size2")

@@ -318,3 +318,18 @@ def _(t):
     pinned = lists.select("blog_id").distinct().select("blog_id", F.lit(-1).cast("long").alias("key"), F.when(k % 5 == 0, "no date").otherwise(
         F.concat(F.lit("Pinned, "), F.date_format(day, "MMMM d"))).alias("text"))
     return G.sort_with_pinned(lists, pinned, F.lit(1998)).select("blog_id", "key", F.date_format("date", "yyyy-MM-dd").alias("date"), "index")
+
+
+@query("g14_detect_page2", f"""WITH {ENTRIES_SQL}, one AS (SELECT feed_id, pos, key FROM entries WHERE pos < 2),
+    two AS (SELECT feed_id, CASE WHEN feed_id % 4 = 1 THEN -pos ELSE pos END AS pos, key FROM entries WHERE pos BETWEEN 2 AND 4 UNION ALL SELECT feed_id, 50, key FROM entries WHERE pos = 0 AND feed_id % 7 = 0),
+    seq AS (SELECT feed_id, key, row_number() OVER (PARTITION BY feed_id ORDER BY pos) - 1 AS sp FROM two), s1 AS (SELECT feed_id, count(*) AS size1 FROM one GROUP BY 1),
+    s2 AS (SELECT feed_id, count(*) AS size2, count(DISTINCT key) AS d FROM two GROUP BY 1),
+    bad AS (SELECT DISTINCT feed_id FROM two JOIN one USING (feed_id, key)),
+    hits AS (SELECT s.feed_id, bool_and(EXISTS (SELECT 1 FROM entries b WHERE b.feed_id = e.feed_id AND b.bucket = e.bucket AND b.key = s.key)) AS ok FROM seq s JOIN s1 USING (feed_id) JOIN entries e ON e.feed_id = s.feed_id AND e.pos = sp + size1 GROUP BY 1)
+    SELECT feed_id, 'm' AS mask, size1, size2 FROM s2 JOIN s1 USING (feed_id) LEFT JOIN hits USING (feed_id) WHERE size2 = d AND feed_id NOT IN (SELECT feed_id FROM bad) AND coalesce(ok, true)""")
+def _(t):
+    e = entries(t)
+    rows = e.select("feed_id", F.lit("m").alias("mask"), "pos", "key")
+    turned = rows.where("pos between 2 and 4").withColumn("pos", F.when(c("feed_id") % 4 == 1, -c("pos")).otherwise(c("pos")))
+    repeated = rows.where("pos = 0 and feed_id % 7 = 0").withColumn("pos", F.lit(50).cast("long"))
+    return G.detect_page2(rows.where("pos < 2"), turned.unionByName(repeated), e)
