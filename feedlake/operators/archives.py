@@ -300,3 +300,21 @@ def detect_page2(page1: DataFrame, page2: DataFrame, entries: DataFrame) -> Data
     follows = sequence_match(checkpointed(per_group), checkpointed(seq), F.col("size1")).where("is_match").select(
         F.col("feed_id").alias("group_id"))
     return open_groups.join(follows, "group_id", "left_semi").select("feed_id", "mask", "size1", "size2")
+
+
+def detect_sorted_first(groups: DataFrame, entries: DataFrame, page_keys: DataFrame) -> DataFrame:
+    """Groups that are the list without its newest entry, which stands out elsewhere on the page: ``page_keys(page_id, key)``.
+
+    Of repeated links the last one counts. Feeds of fewer than three entries are not judged.
+    """
+    ided = groups.withColumn("feed_id", _group_id())
+    single = first_per_key(ided, ["feed_id", "key"], [F.col("pos").desc()])
+    seq = with_row_number(single.select("feed_id", "pos", "key"), ["feed_id"], ["pos"], "_n", position_chunk(F.col("pos")))
+    seq = checkpointed(seq.select("feed_id", (F.col("_n") - 1).alias("seq_pos"), "key"))
+    per_group = checkpointed(ided.select("feed_id", "page_id").distinct().join(entries, "page_id").select("feed_id", "pos", "bucket", "key"))
+    matched = match_except_first(per_group, seq).where("is_match and first_key is not null")
+    sizes = single.groupBy("feed_id", "page_id", "stars", "mask").agg((F.count("*") + 1).alias("n_links"))
+    feed = entries.groupBy("page_id").agg(F.count("*").alias("_n_feed")).where("_n_feed >= 3")
+    found = sizes.join(matched, "feed_id").join(feed, "page_id").where("n_links >= _n_feed").withColumn("key", F.col("first_key"))
+    return found.join(page_keys, ["page_id", "key"], "left_semi").select(
+        "page_id", "stars", "mask", "n_links", "first_key", F.lit("archives_first").alias("pattern"))

@@ -333,3 +333,16 @@ def _(t):
     turned = rows.where("pos between 2 and 4").withColumn("pos", F.when(c("feed_id") % 4 == 1, -c("pos")).otherwise(c("pos")))
     repeated = rows.where("pos = 0 and feed_id % 7 = 0").withColumn("pos", F.lit(50).cast("long"))
     return G.detect_page2(rows.where("pos < 2"), turned.unionByName(repeated), e)
+
+
+@query("g02_detect_sorted_first", f"""WITH {ENTRIES_SQL}, n AS (SELECT feed_id, count(*) AS n FROM entries GROUP BY 1), fb AS (SELECT feed_id, count(*) AS b FROM entries e WHERE bucket = (SELECT min(bucket) FROM entries x WHERE x.feed_id = e.feed_id) GROUP BY 1),
+    rev AS (SELECT a.feed_id, bool_and(a.bucket = z.bucket) AS ok FROM entries a JOIN n USING (feed_id) JOIN entries z ON z.feed_id = a.feed_id AND z.pos = n - a.pos WHERE a.pos >= 1 GROUP BY 1)
+    SELECT feed_id AS page_id, n AS n_links, '0' AS first_key FROM n JOIN fb USING (feed_id) JOIN rev USING (feed_id) WHERE n >= 3 AND feed_id % 2 = 0 AND (feed_id % 3 <> 0 OR b = n OR (b = 1 AND ok))""")
+def _(t):
+    # Positions are the keys; every third list is upside down, and all repeat one link at the top.
+    e = entries(t).select(c("feed_id").alias("page_id"), "pos", "bucket", text(c("pos")).alias("key"))
+    listed = e.where("pos >= 1").select("page_id", F.lit(1).alias("stars"), F.lit("m").alias("mask"), F.when(
+        c("page_id") % 3 == 0, -c("pos")).otherwise(c("pos")).alias("pos"), "key")
+    again = listed.where("key = '2'").withColumn("pos", F.lit(-1000).cast("long"))
+    page_keys = e.where("pos >= 1 or page_id % 2 = 0").select("page_id", "key")
+    return G.detect_sorted_first(listed.unionByName(again), e, page_keys).select("page_id", "n_links", "first_key")
