@@ -53,9 +53,12 @@ def _(t):
     return t.customer.select("c_custkey", O.class_token(classes).alias("token"))
 
 
-@query("e05_page_text_nodes")
+@query("e05_page_text_nodes", r"""WITH h AS (SELECT page_id, html, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<title>.*?</title>', '', 'g') AS body FROM pages),
+    t AS (SELECT page_id, unnest(regexp_extract_all(body, '>([^<]+)', 1)) AS txt FROM h)
+    SELECT page_id, 'text' AS kind, count(*) AS n FROM t WHERE regexp_matches(txt, '\S') GROUP BY 1
+    UNION ALL SELECT page_id, 'a', len(regexp_extract_all(html, '<a href=')) FROM h UNION ALL SELECT page_id, 'title', 1 FROM h WHERE regexp_matches(html, '<title>[^<]*\S') UNION ALL SELECT page_id, 'meta', len(regexp_extract_all(html, '<meta ')) FROM h""")
 def _(t):
-    return O.nodes(t.pages).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("n_chars"))
+    return O.nodes(t.pages).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
 DATE_FORMS = ["dd MMM yyyy", "MMMM d, yyyy", "'Posted on' yyyy-MM-dd HH:mm", "yyyy MMM d -", "dd-MM-yyyy", "MMMM yyyy", "MM/dd/yyyy", "MMM d ''yy", "MMM d"]
