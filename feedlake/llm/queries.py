@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlake.llm import quality_rules, simhash
+from feedlake.llm import bpe, decontaminate, quality_rules, secrets, simhash
 from feedlake.llm.common import table
 from feedlake.llm.registry import query
 
@@ -15,6 +16,22 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+@query("op5_secret_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_table(table(spark, folder, "documents"))
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = bpe.load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.token_digests(table(spark, folder, "documents"), tokenizer)
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
+
+
+@query("op8_decontaminate")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlap_table(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -60,32 +60,39 @@ _CHECKS = [sum(1 << (i - 1) for i in range(1, 32) if i >> j & 1) for j in range(
 _FREE = 1 << 31
 
 
-def anchors(half: Column) -> Column:
-    """Array of ``(anchor, home)``: the anchors within two bits of a 32-bit value; ``home`` is the one within one bit."""
-    syndrome = sum(((F.bit_count(half.bitwiseAND(F.lit(m))) % 2) * (1 << j) for j, m in enumerate(_CHECKS)), F.lit(0)).cast("int")
+def _flip(value: Column, bit: Column) -> Column:
+    return value.bitwiseXOR(F.pow(F.lit(2.0), bit - 1).cast("long"))
 
-    def flip(value: Column, bit: Column) -> Column:
-        return value.bitwiseXOR(F.expr("1L") * F.pow(F.lit(2.0), bit - 1).cast("long"))
 
-    home = F.when(syndrome == 0, half).otherwise(flip(half, syndrome))
+def _syndrome(half: Column) -> Column:
+    """The position of the bit that separates a value from its code word; 0 for a code word."""
+    return sum(((F.bit_count(half.bitwiseAND(F.lit(m))) % 2) * (1 << j) for j, m in enumerate(_CHECKS)), F.lit(0)).cast("int")
+
+
+def home_anchor(half: Column) -> Column:
+    """The anchor within one bit of a 32-bit value (its free bit is kept)."""
+    syndrome = _syndrome(half)
+    return F.when(syndrome == 0, half).otherwise(_flip(half, syndrome))
+
+
+def near_anchors(half: Column) -> Column:
+    """Array of all anchors within two bits of a 32-bit value, the home anchor included."""
+    syndrome = _syndrome(half)
+    home = home_anchor(half)
     # Code words at distance two: flip i and j with i xor j = syndrome. A code word itself has none.
     pairs = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda i: (syndrome != 0) & (i < i.bitwiseXOR(syndrome)))
-    second = F.transform(pairs, lambda i: F.struct(flip(flip(half, i), i.bitwiseXOR(syndrome)).alias("anchor"), F.lit(False).alias("home")))
-    return F.concat(F.array(F.struct(home.alias("anchor"), F.lit(True).alias("home")),
-                            F.struct(home.bitwiseXOR(F.lit(_FREE)).alias("anchor"), F.lit(False).alias("home"))), second)
+    second = F.transform(pairs, lambda i: _flip(_flip(half, i), i.bitwiseXOR(syndrome)))
+    return F.concat(F.array(home, home.bitwiseXOR(F.lit(_FREE))), second)
 
 
 def near_links(fps: DataFrame) -> DataFrame:
     """``(a, b)``, ``a < b``: all pairs of the distinct values in ``fps (fp)`` that differ in at most three bits."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-
-    def tagged(half: Column, tag: int) -> Column:
-        return F.transform(anchors(half), lambda x: F.struct((x["anchor"] + F.lit(tag << 32)).alias("anchor"), x["home"].alias("home")))
-
-    placed = fps.select("fp", F.explode(F.concat(tagged(low, 0), tagged(high, 1))).alias("x")).select("fp", "x.anchor", "x.home")
-    home = placed.filter("home").select("anchor", F.col("fp").alias("p"))
-    other = placed.select("anchor", F.col("fp").alias("q"))
+    halves = (F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
+    tags = [F.lit(k << 32) for k in range(2)]
+    home = fps.select(F.col("fp").alias("p"), F.explode(F.array(*(home_anchor(h) + t for h, t in zip(halves, tags, strict=True)))).alias("anchor"))
+    # Both halves' lists, the second moved out of the range of the first.
+    low, high = map(near_anchors, halves)
+    other = fps.select(F.col("fp").alias("q"), F.explode(F.concat(low, F.transform(high, lambda x: x + tags[1]))).alias("anchor"))
     near = home.join(other, "anchor").filter((F.col("p") != F.col("q")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= THRESHOLD))
     return near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
