@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlake.llm import bpe, decontaminate, quality_rules, secrets, simhash
+from feedlake.llm import bpe, decontaminate, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
 from feedlake.llm.common import table
 from feedlake.llm.registry import query
 
@@ -16,6 +16,16 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query("op4_quality_model")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.quality_table(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op5_secret_scan")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_table(table(spark, folder, "documents"))
@@ -35,3 +45,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_decontaminate")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.overlap_table(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_table(table(spark, folder, "documents"), table(spark, folder, "labels"))
