@@ -43,7 +43,7 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]):
         self.n = n = len(keys)
         h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
-        self.buckets = b = max(1, n // 4)
+        self.buckets = b = max(1, n)
         where = (h % np.uint64(b)).astype(np.int64)
         members: dict[int, list[int]] = {}
         for i, w in enumerate(where.tolist()):

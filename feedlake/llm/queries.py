@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlake.llm import bpe, decontaminate, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from feedlake.llm import bpe, decontaminate, licenses, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
 from feedlake.llm.common import table
 from feedlake.llm.registry import query
 
@@ -50,3 +50,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_toxicity")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_table(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_license_scan", licenses.ORACLE_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.file_licenses(licenses.document_paths(table(spark, folder, "documents")))
