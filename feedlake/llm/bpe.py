@@ -113,34 +113,41 @@ class Tokenizer:
         self._start()
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token that is no entry itself: lowest rank first, leftmost of equals first."""
-        ranks = self.ranks
+        """Ids of a pre-token that is no entry itself: lowest rank first, leftmost of equals first.
+
+        ``ends[i]`` is the end of the part that starts at byte ``i`` (0 once it was swallowed), which links the parts
+        forwards; ``before`` links them backwards. A heap item packs rank, start and end of a pair; it is stale unless
+        two neighbouring parts still span exactly that stretch.
+        """
+        get = self.ranks.get
         n = len(piece)
-        parts: list[bytes | None] = [piece[i:i + 1] for i in range(n)]
-        after = list(range(1, n + 1))
+        wide = n.bit_length()
+        low = (1 << wide) - 1
+        ends = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
+        heap = [(((r << wide) | i) << wide) | i + 2 for i in range(n - 1) if (r := get(piece[i:i + 2])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, size = heapq.heappop(heap)
-            left = parts[i]
-            j = after[i]
-            # Either side may have been merged meanwhile.
-            if left is None or j >= n or len(left) + len(parts[j]) != size:
+            x = pop(heap)
+            end = x & low
+            i = x >> wide & low
+            middle = ends[i]
+            if not middle or middle >= n or ends[middle] != end:
                 continue
-            joined = left + parts[j]
-            parts[i], parts[j] = joined, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                wide = joined + parts[k]
-                if (r := ranks.get(wide)) is not None:
-                    heapq.heappush(heap, (r, i, len(wide)))
-            if (k := before[i]) >= 0:
-                wide = parts[k] + joined
-                if (r := ranks.get(wide)) is not None:
-                    heapq.heappush(heap, (r, k, len(wide)))
-        return [ranks[p] for p in parts if p is not None]
+            ends[i], ends[middle] = end, 0
+            if end < n:
+                before[end] = i
+                if (r := get(piece[i:ends[end]])) is not None:
+                    push(heap, (((r << wide) | i) << wide) | ends[end])
+            k = before[i]
+            if k >= 0 and (r := get(piece[k:end])) is not None:
+                push(heap, (((r << wide) | k) << wide) | end)
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i:ends[i]]])
+            i = ends[i]
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
         raw = [p.encode() for p in pieces]
