@@ -16,7 +16,7 @@ BATCH_ROWS = 500
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
           "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
-          "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+          "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 
 
 def prepare(spark: SparkSession) -> SparkSession:

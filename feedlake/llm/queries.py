@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlake.llm import bpe, decontaminate, licenses, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from feedlake.llm import bpe, decontaminate, licenses, maxent, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
 from feedlake.llm.common import table
 from feedlake.llm.registry import query
 
@@ -21,6 +21,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
 
 
+@query("op3_maxent_scores")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.score_table(table(spark, folder, "documents"))
+
+
 @query("op4_quality_model")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.quality_table(table(spark, folder, "documents"), table(spark, folder, "labels"))

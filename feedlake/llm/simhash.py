@@ -104,9 +104,10 @@ def simhash_groups(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     values = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     links = scratch.store(near_links(values.select("fp")), "links")
     labels = connected_components(links, scratch)
-    named = values.join(labels, values.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return rows, named.join(smallest, "label").select("fp", "component_id")
+    # Stored, so that the join on a label can split the label of a huge component.
+    smallest = scratch.store(values.join(labels, values.fp == labels.node).groupBy("label").agg(F.min("first_id").alias("component_id")), "smallest")
+    linked = labels.join(smallest, "label").select(F.col("node").alias("fp"), "component_id")
+    return rows, values.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
