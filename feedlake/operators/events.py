@@ -83,7 +83,7 @@ def dispatch_batch(events: DataFrame) -> DataFrame:
     pending = events.where("dispatched_at is null").where(~_is_skipped_bot(events))
     return pending.select(
         F.col("product_user_id").alias("user_id"), "event_type", F.unix_millis("created_at").alias("time"),
-        "event_properties", "user_properties", F.col("browser").alias("platform"), "os_name",
+        "event_properties", "user_properties", F.col("browser").alias("platform"), "os_name", "os_version",
         F.col("user_ip").alias("ip"), F.col("id").alias("event_id"), F.col("id").cast("string").alias("insert_id"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions import urls as U
@@ -63,12 +63,12 @@ def parse_feeds(docs: DataFrame) -> DataFrame:
         F.coalesce(X.inner_text(F.coalesce("_orig", "_url")), F.col("_atom.href")).alias("url"),
         (atom & (F.coalesce(F.col("_atom.count"), F.lit(0)) > 1) & F.col("_orig").isNull()).alias("_ambiguous"),
         (atom & (F.col("_root.count") > 1)).alias("_bad_root"))
-    errors = rows.groupBy("feed_id").agg(F.bool_or(
-        (F.col("pos").isNotNull() & F.col("url").isNull()) | F.col("_ambiguous") | F.col("_bad_root")
-        | F.col("feed_kind").isNull()).alias("feed_error"))
     decoded = rows.withColumn("_decoded", X.decoded_title(F.col("raw_title")))
     titled = decoded.withColumn("title", normalized_title(F.col("_decoded"))).drop("_decoded")
-    return titled.drop("raw_title", "_ambiguous", "_bad_root").join(errors, "feed_id")
+    # A window and not a join with the aggregate, which would parse every document twice; it holds one feed's items.
+    bad = ((F.col("pos").isNotNull() & F.col("url").isNull()) | F.col("_ambiguous") | F.col("_bad_root") | F.col("feed_kind").isNull())
+    flagged = titled.withColumn("feed_error", F.bool_or(bad).over(Window.partitionBy("feed_id")))
+    return flagged.select("feed_id", "fetch_url", "feed_kind", "pos", "date", "url", "title", "feed_error")
 
 
 def feed_metadata(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions import schedule as S
@@ -107,7 +107,7 @@ def subscription_items(subs: DataFrame, sub_posts: DataFrame, new_posts: DataFra
     items = finals.unionByName(posts).unionByName(initials)
     # At most one feed's worth of older items per subscription, plus the batch of the day.
     order = [F.col("grp"), F.col("index").desc(), F.col("post_id").desc()]
-    return top_per_key(items, ["subscription_id"], order, (1 << 31) - 1)
+    return items.withColumn("rank", F.row_number().over(Window.partitionBy("subscription_id").orderBy(*order)))
 
 
 def user_items(items: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Link tables carry the columns added by ``functions.urls.with_canonical``: ``reje
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions import urls as U
@@ -191,12 +191,11 @@ def query_param_profile(df: DataFrame) -> DataFrame:
     profile = named.groupBy("param").agg(
         F.count_distinct("url").alias("n_urls"), F.count_distinct("site_id").alias("n_sites"),
         F.count_distinct(F.coalesce("value", F.lit("\0"))).alias("n_values"))
-    everything = Window.partitionBy()
-    return profile.withColumns({
-        "most_urls": F.col("n_urls") == F.max("n_urls").over(everything),
-        "most_sites": F.col("n_sites") == F.max("n_sites").over(everything),
-        "most_values": F.col("n_values") == F.max("n_values").over(everything),
-    })
+    counts = ["n_urls", "n_sites", "n_values"]
+    most = profile.agg(*[F.max(n).alias(f"_{n}") for n in counts])
+    # The other side is one row.
+    led = profile.crossJoin(F.broadcast(most))
+    return led.select("param", *counts, *[(F.col(n) == F.col(f"_{n}")).alias(n.replace("n_", "most_")) for n in counts])
 
 
 def repeated_param_urls(df: DataFrame) -> DataFrame:

@@ -87,10 +87,10 @@ def _(t):
     return O.feed_metadata(feed_docs(t)).select("feed_id", "title", "generator", "root_url")
 
 
-@query("c04_decode_titles", """SELECT doc_id, md5(replace(split_part(text, chr(10), 1), '&', '+') || ' & <é> ' || chr(10) || '€ &unknown;') AS title_md5 FROM documents""")
+@query("c04_decode_titles", """SELECT doc_id, md5(replace(text, '&', '+') || ' & <é> ' || chr(10) || '€ &unknown;') AS title_md5 FROM documents""")
 def _(t):
-    first = F.replace(F.substring_index("text", "\n", 1), F.lit("&"), F.lit("+"))
-    df = t.documents.select("doc_id", F.concat(first, F.lit(" &amp; &lt;&eacute;&gt; <br/>&#8364; &unknown;")).alias("title"))
+    whole = F.replace("text", F.lit("&"), F.lit("+"))
+    df = t.documents.select("doc_id", F.concat(whole, F.lit(" &amp; &lt;&eacute;&gt; <br/>&#8364; &unknown;")).alias("title"))
     return O.decode_titles(df).select("doc_id", F.md5("title").alias("title_md5"))
 
 
@@ -265,9 +265,9 @@ def _(t):
     return O.discarded_entries(e, members(e)).select("feed_id", "pos", "key")
 
 
-@query("c14_missing_from_feed", f"""WITH {ENTRIES_SQL}, posts AS (SELECT feed_id, pos + 1 AS pos, key FROM entries UNION ALL SELECT feed_id, 1000 + pos, key + 100 FROM entries UNION ALL SELECT feed_id, 0, -1 FROM entries WHERE pos = 0),
-    ends AS (SELECT feed_id, max_by(key, pos) AS key FROM entries GROUP BY 1), starts AS (SELECT p.feed_id, min(pos) AS start FROM posts p JOIN ends USING (feed_id, key) GROUP BY 1)
-    SELECT p.feed_id, p.pos, p.key FROM posts p JOIN starts USING (feed_id) WHERE pos >= start AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.feed_id = p.feed_id AND e.key = p.key)""")
+@query("c14_missing_from_feed", f"""WITH {ENTRIES_SQL}, held AS MATERIALIZED (SELECT feed_id, pos, key FROM entries), posts AS MATERIALIZED (SELECT feed_id, pos + 1 AS pos, key FROM held UNION ALL SELECT feed_id, 1000 + pos, key + 100 FROM held UNION ALL SELECT feed_id, 0, -1 FROM held WHERE pos = 0),
+    ends AS (SELECT feed_id, max_by(key, pos) AS key FROM held GROUP BY 1), starts AS (SELECT p.feed_id, min(pos) AS start FROM posts p JOIN ends USING (feed_id, key) GROUP BY 1)
+    SELECT p.feed_id, p.pos, p.key FROM posts p JOIN starts s ON s.feed_id = p.feed_id AND p.pos >= s.start ANTI JOIN held e ON e.feed_id = p.feed_id AND e.key = p.key""")
 def _(t):
     e = entries(t)
     posts = e.select("feed_id", (c("pos") + 1).alias("pos"), "key").unionByName(

@@ -73,28 +73,31 @@ def _(t):
     return rows.select("o_orderkey", F.date_format("text_date", "yyyy-MM-dd").alias("text_date"))
 
 
-TITLE_SQL = """titles AS (SELECT doc_id, source, ' ' || replace(split_part(text, chr(10), 1), ' ', '  ') || chr(13) || chr(10) || '“End”… ' AS raw FROM documents),
-norm AS (SELECT doc_id, source, regexp_replace(replace(trim(raw), chr(13) || chr(10), ' '), ' +', ' ', 'g') AS title FROM titles)"""
+# One title for each line of a document.
+TITLE_SQL = """lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
+titles AS (SELECT doc_id, line_no, source, ' ' || replace(line, ' ', '  ') || chr(13) || chr(10) || '“End”… ' AS raw FROM lines),
+norm AS (SELECT doc_id, line_no, source, regexp_replace(replace(trim(raw), chr(13) || chr(10), ' '), ' +', ' ', 'g') AS title FROM titles)"""
 
 
 def titles(t):
-    raw = F.concat(F.lit(" "), F.replace(F.substring_index("text", "\n", 1), F.lit(" "), F.lit("  ")), F.lit("\r\n“End”… "))
-    return t.documents.select("doc_id", c("source").alias("blog_id"), normalized_title(raw).alias("title"))
+    lines = t.documents.select("doc_id", c("source").alias("blog_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    raw = F.concat(F.lit(" "), F.replace("line", F.lit(" "), F.lit("  ")), F.lit("\r\n“End”… "))
+    return lines.select("doc_id", c("line_no").cast("long").alias("line_no"), "blog_id", normalized_title(raw).alias("title"))
 
 
-@query("e07_normalize_titles", f"WITH {TITLE_SQL} SELECT doc_id, md5(title) AS title_md5, md5(lower(replace(replace(replace(title, '“', '\"'), '”', '\"'), '…', '...'))) AS equalized_md5 FROM norm")
+@query("e07_normalize_titles", f"WITH {TITLE_SQL} SELECT doc_id, line_no, md5(title) AS title_md5, md5(lower(replace(replace(replace(title, '“', '\"'), '”', '\"'), '…', '...'))) AS equalized_md5 FROM norm")
 def _(t):
-    return O.equalize_titles(titles(t)).select("doc_id", F.md5("title").alias("title_md5"), F.md5("equalized").alias("equalized_md5"))
+    return O.equalize_titles(titles(t)).select("doc_id", "line_no", F.md5("title").alias("title_md5"), F.md5("equalized").alias("equalized_md5"))
 
 
-@query("e07_titles_roughly_equal", f"WITH {TITLE_SQL} SELECT doc_id, doc_id % 3 <> 2 AS is_close FROM norm")
+@query("e07_titles_roughly_equal", f"WITH {TITLE_SQL} SELECT doc_id, line_no, doc_id % 3 <> 2 AS is_close FROM norm")
 def _(t):
     title = c("title")
     other = F.when(c("doc_id") % 3 == 0, F.replace(F.replace(F.upper(title), F.lit("“"), F.lit('"')), F.lit("…"), F.lit("..."))).when(
         c("doc_id") % 3 == 1, F.concat(F.regexp_replace(title, "…$", ""), F.lit(" and more"))).otherwise(F.concat(F.lit("x"), title))
     # Upper-casing is not reversible for every letter, so those titles are compared in lower case.
     base = F.when(c("doc_id") % 3 == 0, equalized_title(F.upper(title))).otherwise(title)
-    return titles(t).select("doc_id", titles_roughly_equal(base, other).alias("is_close"))
+    return titles(t).select("doc_id", "line_no", titles_roughly_equal(base, other).alias("is_close"))
 
 
 @query("e08_page_titles", """SELECT page_id, regexp_replace(CASE WHEN page_id % 2 = 0 THEN 'Og ' || page_id ELSE nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') END, ' +', ' ', 'g') AS title FROM pages""")

@@ -20,12 +20,12 @@ def sql_stamp(name):
     return f"strftime({name}, '%Y-%m-%d %H:%M:%S') AS {name}"
 
 
-@query("b22_title_slug", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(split_part(text, chr(10), 1)), '\w+')[1:10] AS words FROM documents),
+@query("b22_title_slug", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\w+')[1:10] AS words FROM documents),
     n AS (SELECT doc_id, words, greatest(1, coalesce(len(list_filter(list_transform(range(1, len(words) + 1),
         lambda i: len(array_to_string(words[1:i], '-'))), lambda n: n <= 100)), 0)) AS k FROM w)
     SELECT doc_id, coalesce(left(array_to_string(words[1:k], '-'), 100), '') AS slug FROM n""")
 def _(t):
-    return t.documents.select("doc_id", slug(F.substring_index("text", "\n", 1)).alias("slug"))
+    return t.documents.select("doc_id", slug(F.col("text")).alias("slug"))
 
 
 @query("i01_active", f"{WITH} SELECT user_id, count(*) AS n FROM subs WHERE discarded_at IS NULL GROUP BY 1")
@@ -84,27 +84,27 @@ def _(t):
 
 
 def picks(t):
-    return t.orders.select(F.col("o_orderkey").alias("subscription_id"), (F.col("o_custkey") % 100).alias("category_id"),
-                           (F.col("o_custkey") % 100).alias("blog_id"))
+    return t.orders.select(F.col("o_orderkey").alias("subscription_id"), F.col("o_custkey").alias("category_id"), F.col("o_custkey").alias("blog_id"))
 
 
 def assignments(t):
-    return t.part.where("p_size > 40").select((F.col("p_partkey") % 100).alias("category_id"), F.col("p_partkey").alias("blog_post_id"))
+    # Fifty posts in a category, however many parts there are; all but every fifth are selected.
+    return t.part.where("p_partkey % 5 <> 0").select(F.floor(F.col("p_partkey") / 50).cast("long").alias("category_id"), F.col("p_partkey").alias("blog_post_id"))
 
 
 @query("i06_select_posts", """SELECT o_orderkey AS subscription_id, p_partkey AS blog_post_id,
     rtrim(replace(replace(base64(unhex(md5(o_orderkey || '/' || p_partkey))), '+', '-'), '/', '_'), '=') AS random_id
-    FROM orders JOIN part ON p_partkey % 100 = o_custkey % 100 WHERE p_size > 40""")
+    FROM orders JOIN part ON p_partkey // 50 = o_custkey WHERE p_partkey % 5 <> 0""")
 def _(t):
     return O.select_posts(picks(t).drop("blog_id"), assignments(t))
 
 
-@query("i06_selection_share", """WITH totals AS (SELECT p_partkey % 100 AS blog_id, count(*) AS posts_count, count(*) FILTER (WHERE p_size > 40) AS selected_count FROM part GROUP BY 1)
+@query("i06_selection_share", """WITH totals AS (SELECT p_partkey // 50 AS blog_id, count(*) AS posts_count, count(*) FILTER (WHERE p_partkey % 5 <> 0) AS selected_count FROM part GROUP BY 1)
     SELECT o_orderkey AS subscription_id, selected_count, posts_count, round(selected_count / posts_count, 6) AS selected_fraction
-    FROM orders JOIN totals ON blog_id = o_custkey % 100 WHERE selected_count > 0""")
+    FROM orders JOIN totals ON blog_id = o_custkey WHERE selected_count > 0""")
 def _(t):
     selected = O.select_posts(picks(t).drop("blog_id"), assignments(t))
-    blog_posts = t.part.select((F.col("p_partkey") % 100).alias("blog_id"))
+    blog_posts = t.part.select(F.floor(F.col("p_partkey") / 50).cast("long").alias("blog_id"))
     return O.selection_share(selected, picks(t), blog_posts).select(
         "subscription_id", "selected_count", "posts_count", F.round("selected_fraction", 6).alias("selected_fraction"))
 

@@ -72,10 +72,10 @@ BOTS_SQL = f"""e AS (SELECT *, event_id % 4 <> 0 AS pending,
   bot_name IS NOT NULL AND event_id % 5 <> 0 AND event_id % 3 <> 0 AS skipped FROM events JOIN {PLATFORMS_SQL} ON pick = event_id % 7)"""
 
 
-@query("l05_dispatch_batch", f"""WITH {BOTS_SQL} SELECT event_id, 'u' || user_id AS user_id, event_type, epoch_us(ts) // 1000 AS time, event_id::VARCHAR AS insert_id, browser AS platform
+@query("l05_dispatch_batch", f"""WITH {BOTS_SQL} SELECT event_id, 'u' || user_id AS user_id, event_type, epoch_us(ts) // 1000 AS time, event_id::VARCHAR AS insert_id, browser AS platform, os_version
     FROM e WHERE pending AND NOT skipped""")
 def _(t):
-    return O.dispatch_batch(product_events(t)).select("event_id", "user_id", "event_type", "time", "insert_id", "platform")
+    return O.dispatch_batch(product_events(t)).select("event_id", "user_id", "event_type", "time", "insert_id", "platform", "os_version")
 
 
 @query("l05_bot_skip_counts", f"WITH {BOTS_SQL} SELECT bot_name, count(*) AS n_skipped FROM e WHERE pending AND skipped GROUP BY 1")

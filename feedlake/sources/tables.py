@@ -12,7 +12,7 @@ TABLES = {
     "blog_posts": "id long, blog_id long, index int, url string, title string",
     "blog_post_categories": "id long, blog_id long, name string, index int, is_top boolean",
     "blog_post_category_assignments": "id long, blog_post_id long, category_id long",
-    "blog_canonical_equality_configs": "blog_id long, same_hosts array<string>, expect_tumblr_paths boolean",
+    "blog_canonical_equality_configs": "blog_id long, same_hosts array<string>, expect_post_paths boolean",
     "blog_discarded_feed_entries": "id long, blog_id long, url string",
     "blog_missing_from_feed_entries": "id long, blog_id long, url string",
     "blog_crawl_votes": "id long, user_id long, blog_id long, value string",
