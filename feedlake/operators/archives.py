@@ -85,12 +85,23 @@ def detect_shuffled(groups: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.select("page_id", "stars", "mask", F.col("n_distinct").alias("n_links"), "has_dates", pattern.alias("pattern"))
 
 
-def detect_pinned(groups: DataFrame, entries: DataFrame) -> DataFrame:
-    """Groups that miss exactly one feed entry, which stands elsewhere on the page, while all their links are dated."""
-    shapes = _shapes(groups, entries).where("n_distinct >= n_feed - 1 and n_held = n_feed - 1 and n_feed >= 2")
-    dated = groups.groupBy("page_id", "stars", "mask").agg(F.bool_and(F.coalesce("url_date", "date").isNotNull()).alias("_dated"))
-    found = shapes.join(dated, ["page_id", "stars", "mask"]).where("_dated")
-    return found.select("page_id", "stars", "mask", (F.col("n_distinct") + 1).alias("n_links"), F.lit("pinned").alias("pattern"))
+def detect_pinned(groups: DataFrame, entries: DataFrame, page_keys: DataFrame, generators: DataFrame) -> DataFrame:
+    """Groups of one star that hold all feed entries but one, which stands elsewhere on the page; all their links are dated.
+
+    Only pages whose feed ``generators(page_id, generator)`` names as ``medium`` are judged. ``page_keys(page_id, key)``
+    holds all links of a page; ``pinned_key`` is the entry that stands apart.
+    """
+    keys = ["page_id", "stars", "mask"]
+    medium = generators.where("generator = 'medium'").select("page_id").distinct()
+    own = groups.where("stars = 1").join(medium, "page_id", "left_semi")
+    shapes = _shapes(own, entries).where("n_distinct >= n_feed - 1 and n_held = n_feed - 1 and n_feed >= 2")
+    dated = own.groupBy(*keys).agg(F.bool_and(F.coalesce("url_date", "date").isNotNull()).alias("_dated")).where("_dated")
+    fit = shapes.join(dated, keys)
+    # The one entry of the feed that the group lacks: all pairs here are entries of one feed.
+    lacking = fit.select(*keys, "n_distinct").join(entries.select("page_id", "key").distinct(), "page_id").join(
+        own.select(*keys, "key").distinct(), [*keys, "key"], "left_anti")
+    found = lacking.join(page_keys.select("page_id", "key").distinct(), ["page_id", "key"], "left_semi")
+    return found.select(*keys, (F.col("n_distinct") + 1).alias("n_links"), F.col("key").alias("pinned_key"), F.lit("pinned").alias("pattern"))
 
 
 def detect_long_feed(page_keys: DataFrame, entries: DataFrame, best: DataFrame) -> DataFrame:
@@ -103,26 +114,56 @@ def detect_long_feed(page_keys: DataFrame, entries: DataFrame, best: DataFrame)
     return joined.where(fits).select("page_id", "n_links", F.lit("long_feed").alias("pattern"))
 
 
-# The order in which detectors are asked on one page.
-STAGES = ["archives", "pinned", "feed", "shuffled", "shuffled_almost", "long_feed"]
+# The order in which detectors are asked on one page, each with one, two and three stars in turn.
+STAGES = ["archives", "archives_first", "pinned", "two_masks", "feed", "shuffled", "shuffled_two_masks", "archives_almost", "shuffled_almost", "long_feed"]
+SHUFFLED = ["shuffled", "shuffled_two_masks", "shuffled_almost"]
+
+_CANDIDATE = "struct<stage:int,stars:int,n_links:long,has_dates:boolean,pattern:string,mask:string>"
 
 
 def archive_candidates(*detected: DataFrame) -> DataFrame:
-    """One candidate per page and detector, the longest with fewest stars, ranked over the page.
+    """Results of the detector cascade of each page: at most one main list, and one bundle of shuffled ones.
 
-    A later detector only counts when its list is longer than those of the earlier ones.
+    Detectors are asked in the order of ``STAGES``; of one stage and number of stars the longest list counts, then the
+    first mask. A list is accepted if it is longer than all accepted before. A pinned list that is accepted ends the
+    cascade and stands alone. Shuffled lists are not asked for once the main list is sorted and dated; accepted ones form
+    the bundle, except that a shuffled list in which ``is_sorted`` holds becomes the main list. Any other accepted list
+    replaces the main list. ``bundle_links`` is the length of the longest list of the bundle.
     """
-    columns = ["page_id", "stars", "mask", "n_links", "pattern"]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), detected).select(*columns)
-    stage = F.coalesce(*[F.when(F.col("pattern") == p, i) for i, p in enumerate(STAGES)], F.lit(len(STAGES)))
-    best = first_per_key(rows.withColumn("stage", stage), ["page_id", "pattern"], [F.col("n_links").desc(), "stars", "mask"])
-    # At most one row per detector is left for a page.
-    grouped = best.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("stage", "n_links", "pattern", "stars", "mask"))).alias("_c"))
-    empty = F.filter("_c", lambda c: F.lit(False))
-    kept = F.aggregate("_c", empty, lambda acc, c: F.when(
-        (F.size(acc) == 0) | (c["n_links"] > F.coalesce(F.array_max(F.transform(acc, lambda a: a["n_links"])), F.lit(0))),
-        F.concat(acc, F.array(c))).otherwise(acc))
-    return grouped.select("page_id", F.inline(kept))
+    optional = {"has_dates": "boolean", "is_sorted": "boolean", "mask": "string", "stars": "int"}
+    columns = ["page_id", "n_links", "pattern", *optional]
+    rows = reduce(DataFrame.unionByName, [d.withColumns({
+        k: F.lit(None).cast(t) for k, t in optional.items() if k not in d.columns}).select(*columns) for d in detected])
+    stage = F.coalesce(*[F.when(F.col("pattern") == p, i) for i, p in enumerate(STAGES)])
+    staged = rows.withColumn("stage", stage).where("stage is not null")
+    best = first_per_key(staged, ["page_id", "stage", "stars"], [F.col("n_links").desc(), "mask"])
+    # At most one row per detector and number of stars is left for a page.
+    order = F.struct("stage", F.coalesce("stars", F.lit(0)).alias("order"), F.struct(
+        "stage", "stars", F.col("n_links").cast("long").alias("n_links"), F.coalesce("has_dates", F.lit(False)).alias("has_dates"),
+        "pattern", "mask").cast(_CANDIDATE).alias("c"), F.coalesce("is_sorted", F.lit(False)).alias("is_sorted"))
+    grouped = best.groupBy("page_id").agg(F.array_sort(F.collect_list(order)).alias("_all"))
+    start = F.struct(F.lit(0).cast("long").alias("least"), F.lit(False).alias("over"), F.lit(None).cast(_CANDIDATE).alias("main"),
+                     F.array().cast(f"array<{_CANDIDATE}>").alias("bundle"))
+
+    def ask(acc: Column, item: Column) -> Column:
+        c = item["c"]
+        shuffled = c["pattern"].isin(SHUFFLED)
+        dated_main = F.coalesce(acc["main"]["has_dates"] & acc["main"]["pattern"].isin("archives", "archives_almost", *SHUFFLED), F.lit(False))
+        taken = ~acc["over"] & (c["n_links"] >= acc["least"]) & ~(shuffled & dated_main)
+        pinned = c["pattern"] == "pinned"
+        into_bundle = shuffled & ~item["is_sorted"]
+        return F.when(taken, F.struct(
+            (c["n_links"] + 1).alias("least"), pinned.alias("over"), F.when(into_bundle, acc["main"]).otherwise(c).alias("main"),
+            F.when(into_bundle, F.concat(acc["bundle"], F.array(c))).otherwise(acc["bundle"]).alias("bundle"))).otherwise(acc)
+
+    folded = grouped.select("page_id", F.aggregate("_all", start, ask).alias("r"))
+    main = F.when(F.col("r.main").isNotNull(), F.array(F.struct(F.lit("main").alias("part"), F.col("r.main").alias("c")))).otherwise(
+        F.array().cast(f"array<struct<part:string,c:{_CANDIDATE}>>"))
+    bundle = F.transform("r.bundle", lambda c: F.struct(F.lit("bundle").alias("part"), c.alias("c")))
+    longest = F.array_max(F.transform("r.bundle", lambda c: c["n_links"]))
+    return folded.select("page_id", longest.alias("_longest"), F.explode(F.concat(main, bundle)).alias("x")).select(
+        "page_id", "x.part", "x.c.pattern", "x.c.stars", "x.c.mask", "x.c.n_links",
+        F.when(F.col("x.part") == "bundle", F.col("_longest")).alias("bundle_links"))
 
 
 # Paging.

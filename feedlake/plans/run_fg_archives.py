@@ -194,6 +194,57 @@ def _(t):
     return found.select("page_id", "pattern", "n_links")
 
 
+# Each line item is a finding of some detector on the page of its order; the oracle asks them one by one.
+STAGE_NAMES = ", ".join(f"'{p}'" for p in G.STAGES)
+
+
+@query("g09_cascade", f"""WITH RECURSIVE found AS (
+      SELECT l_orderkey AS page_id, (l_partkey % 10)::INT AS stage, (l_suppkey % 3 + 1)::INT AS stars, 'm' || l_linenumber AS mask,
+        l_quantity::BIGINT AS n_links, l_partkey % 4 = 0 AS has_dates, l_suppkey % 5 = 0 AS is_sorted FROM lineitem),
+    best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY page_id, stage, stars ORDER BY n_links DESC, mask) = 1),
+    asked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY stage, stars) AS turn FROM best),
+    judged AS (
+      SELECT page_id, 0::BIGINT AS turn, 0::BIGINT AS least, false AS over, false AS dated, NULL::BIGINT AS main, []::BIGINT[] AS bundle FROM asked WHERE turn = 1
+      UNION ALL
+      SELECT page_id, turn, CASE WHEN yes THEN n_links + 1 ELSE least END, over OR (yes AND stage = 2),
+        CASE WHEN yes AND NOT apart THEN has_dates AND stage IN (0, 5, 6, 7, 8) ELSE dated END,
+        CASE WHEN yes AND NOT apart THEN turn ELSE main END, CASE WHEN yes AND apart THEN list_append(bundle, turn) ELSE bundle END
+      FROM (SELECT j.page_id, j.turn + 1 AS turn, j.least, j.over, j.dated, j.main, j.bundle, a.n_links, a.stage, a.has_dates,
+          a.stage IN (5, 6, 8) AND NOT a.is_sorted AS apart,
+          NOT j.over AND a.n_links >= j.least AND NOT (a.stage IN (5, 6, 8) AND j.dated) AS yes
+        FROM judged j JOIN asked a ON a.page_id = j.page_id AND a.turn = j.turn + 1)),
+    last AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY turn DESC) = 1),
+    parts AS (SELECT page_id, 'main' AS part, main AS turn FROM last WHERE main IS NOT NULL
+      UNION ALL SELECT page_id, 'bundle', unnest(bundle) FROM last)
+    SELECT page_id, part, [{STAGE_NAMES}][stage + 1] AS pattern, stars, mask, n_links,
+      CASE WHEN part = 'bundle' THEN max(n_links) OVER (PARTITION BY page_id, part) END AS bundle_links
+    FROM parts JOIN asked USING (page_id, turn)""")
+def _(t):
+    names = F.array(*map(F.lit, G.STAGES))
+    found = t.lineitem.select(
+        c("l_orderkey").alias("page_id"), F.element_at(names, (c("l_partkey") % 10 + 1).cast("int")).alias("pattern"),
+        (c("l_suppkey") % 3 + 1).cast("int").alias("stars"), F.concat(F.lit("m"), text(c("l_linenumber"))).alias("mask"),
+        c("l_quantity").cast("long").alias("n_links"), (c("l_partkey") % 4 == 0).alias("has_dates"), (c("l_suppkey") % 5 == 0).alias("is_sorted"))
+    return G.archive_candidates(found)
+
+
+@query("g03_detect_pinned", """WITH e AS (SELECT DISTINCT l_orderkey AS page_id, l_partkey AS key FROM lineitem),
+    n AS (SELECT page_id, count(*) AS n_feed, max(key) AS top FROM e GROUP BY 1)
+    SELECT page_id, n_feed + 1 AS n_links, top AS pinned_key FROM n WHERE page_id % 2 = 0 AND n_feed >= 2 AND page_id % 3 <> 0 AND page_id % 5 <> 0""")
+def _(t):
+    # The entry with the largest key is pinned; every page lists one link more, every third page no pinned entry, every
+    # fifth an undated link.
+    page = c("page_id")
+    feed = t.lineitem.select(c("l_orderkey").alias("page_id"), c("l_partkey").alias("key")).distinct()
+    tops = feed.groupBy("page_id").agg(F.max("key").alias("key"))
+    listed = feed.join(tops, ["page_id", "key"], "left_anti").unionByName(tops.select("page_id", F.lit(-1).cast("long").alias("key")))
+    day = F.when((page % 5 != 0) | (c("key") >= 0), F.lit("2020-01-01").cast("date"))
+    groups = listed.select("page_id", F.lit(1).alias("stars"), F.lit("m").alias("mask"), "key", day.alias("url_date"), F.lit(None).cast("date").alias("date"))
+    keys = listed.select("page_id", "key").unionByName(tops.where(page % 3 != 0))
+    makers = feed.select("page_id", F.when(page % 2 == 0, "medium").otherwise("blogger").alias("generator"))
+    return G.detect_pinned(groups, feed, keys, makers).select("page_id", "n_links", "pinned_key")
+
+
 def paging_links(t):
     """Anchors of pages plus one paging link each, of a shape chosen by the page number."""
     base = U.with_canonical(page_hrefs(t.pages), "href", "page_url").select("page_id", "link_url")
