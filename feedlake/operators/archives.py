@@ -70,8 +70,8 @@ def detect_sorted(groups: DataFrame, entries: DataFrame) -> DataFrame:
 def detect_almost_feed(groups: DataFrame, entries: DataFrame) -> DataFrame:
     """Groups shorter than the feed and made of its entries only, nearly all of them: the feed itself is the list."""
     shapes = _shapes(groups, entries)
-    close = (F.col("n_distinct") < F.col("n_feed")) & (F.col("n_held") == F.col("n_distinct")) & (
-        F.col("n_distinct") >= almost_threshold(F.col("n_feed")))
+    least = almost_threshold(F.col("n_feed"))
+    close = (F.col("n_links") < F.col("n_feed")) & (F.col("n_held") == F.col("n_distinct")) & (F.col("n_links") >= least) & (F.col("n_held") >= least)
     return shapes.where(close).select("page_id", "stars", "mask", F.col("n_feed").alias("n_links"), F.lit("feed").alias("pattern"))
 
 

@@ -18,7 +18,7 @@ def triage_bounces(bounces: DataFrame, messages: DataFrame, subs: DataFrame, mar
 
     ``bounces(bounce_id, message_id, bounce_type)``, ``messages(message_id, message_type, subscription_id,
     subscription_post_id)``, ``subs(subscription_id, user_id)``, ``marked(user_id)``. Bounces whose message is not
-    known yet do not come out; they are retried with the next batch.
+    known yet do not come out; the stream keeps them for its next batch.
     """
     keys = ["message_type", "subscription_id", "subscription_post_id"]
     attempts = messages.groupBy(*keys).agg(F.count("*").alias("attempt_count"))

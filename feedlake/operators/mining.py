@@ -9,13 +9,6 @@ from feedlake.functions import urls as U
 from feedlake.functions.ordered import first_per_key
 from feedlake.session import checkpointed
 
-# Hosts that are never a blog.
-BLOCKED_HOSTS = [
-    "www.youtube.com", "github.com", "youtu.be", "twitter.com", "www.amazon.com", "gist.github.com", "randygaul.net",
-    "www.randygaul.net", "en.wikipedia.org", "reddit.com", "www.reddit.com", "aggregate.org", "elm-chan.org", "queue.acm.org",
-]
-
-
 def _trim_link(link: Column) -> Column:
     def one_too_many(text: Column, close: str, opened: str) -> Column:
         surplus = F.length(F.replace(text, F.lit(opened), F.lit(""))) - F.length(F.replace(text, F.lit(close), F.lit("")))
@@ -38,9 +31,9 @@ def mine_links(messages: DataFrame) -> DataFrame:
     return per_message.groupBy("link").agg(F.sum("_n").alias("n"), F.count("*").alias("n_messages"))
 
 
-def block_hosts(links: DataFrame, hosts: list[str] | None = None) -> DataFrame:
-    """Links of hosts that are not blocked, with their host."""
-    return links.withColumn("host", U.url_host(F.col("link"))).where(~F.col("host").isin(hosts or BLOCKED_HOSTS))
+def block_hosts(links: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Links of hosts that the curated list ``blocked(host)`` does not name, with their host."""
+    return links.withColumn("host", U.url_host(F.col("link"))).join(blocked.select("host"), "host", "left_anti")
 
 
 def links_by_host(links: DataFrame) -> DataFrame:

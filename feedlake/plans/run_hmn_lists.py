@@ -232,9 +232,11 @@ def _(t):
 
 
 @query("n02_block_hosts", f"""WITH {MESSAGES_SQL}, l AS (SELECT link, regexp_extract(link, '^https?://([^/]*)', 1) AS host, count(*) AS n FROM mined GROUP BY 1, 2)
-    SELECT host, count(*) AS n_links, sum(n)::BIGINT AS n_mentions FROM l WHERE host <> 'github.com' GROUP BY 1""")
+    SELECT host, count(*) AS n_links, sum(n)::BIGINT AS n_mentions FROM l WHERE host NOT IN (SELECT 'c' || c_custkey || '.example.com' FROM customer WHERE c_custkey % 3 = 0) AND host <> 'github.com' GROUP BY 1""")
 def _(t):
-    return N.links_by_host(N.block_hosts(N.mine_links(messages(t))))
+    blocked = t.customer.where("c_custkey % 3 = 0").select(F.concat(F.lit("c"), c("c_custkey").cast("string"), F.lit(".example.com")).alias("host"))
+    blocked = blocked.unionByName(t.region.limit(1).select(F.lit("github.com").alias("host")))
+    return N.links_by_host(N.block_hosts(N.mine_links(messages(t)), blocked))
 
 
 RULE_LINES = ["https://f1.example.com/1*", "https://f2.example.com/2", "http://f3.example.com/3 -> https://renamed.example.com/3", "https://f5*"]

@@ -23,8 +23,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and streaming state, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; a cluster without it fails early, because a
-    machine-local folder would not survive the loss of an executor.
+    Without that setting only a session whose executors are threads of the driver gets a folder of its own; any other
+    fails early, because a machine-local folder would not survive the loss of an executor.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="feedlake-checkpoint-")
     context.setCheckpointDir(folder)
