@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import equalized_title, normalized_title, titles_roughly_equal
-from feedlake.functions.urls import with_canonical
+from feedlake.functions.urls import ARCHIVES_PATTERN, MAIN_PAGE_PATTERN, with_canonical
 from feedlake.operators import pages as O
 from feedlake.plans.registry import query
 from feedlake.plans.run_b_urls import PAGE_LINKS_SQL
-from feedlake.sources.adapters import order_urls, page_hrefs
+from feedlake.sources.adapters import ORDER_URLS_SQL, order_urls, page_hrefs
 
 c = F.col
 
@@ -177,7 +177,18 @@ def _(t):
     return O.common_links(links, pairs).select("blog_id", "page_id", "canonical", "pos")
 
 
-@query("e13_candidate_pages")
+@query("e13_candidate_pages", f"""WITH {ORDER_URLS_SQL},
+    l AS (SELECT site_id AS blog_id, CASE WHEN url_id % 2 = 0 THEN 'start_page' ELSE 'two_entries' END AS source, url_id AS pos, key, trimmed_path,
+        host || port || '/' || trimmed_path || '?' AS queryless_key, len(trimmed_path) - len(replace(trimmed_path, '/', '')) AS depth,
+        regexp_matches(trimmed_path, '{O.YEAR_ARCHIVE_PATTERN}') AS yearly,
+        CASE WHEN regexp_matches(trimmed_path, '{ARCHIVES_PATTERN}') THEN 'archives' WHEN regexp_matches(trimmed_path, '{MAIN_PAGE_PATTERN}') THEN 'main_page' ELSE 'other' END AS role
+      FROM links WHERE reject IS NULL),
+    fed AS MATERIALIZED (SELECT DISTINCT blog_id, key FROM l WHERE pos % 5 = 0),
+    f AS (SELECT l.*, fed.key IS NOT NULL AS in_feed FROM l LEFT JOIN fed ON fed.blog_id = l.blog_id AND fed.key = l.key),
+    g AS (SELECT *, count(*) FILTER (WHERE role = 'other' AND source = 'two_entries' AND NOT in_feed) OVER (PARTITION BY blog_id) AS crowd FROM f)
+    SELECT blog_id, queryless_key, role, source, pos FROM g
+    WHERE role <> 'other' OR (source = 'two_entries' AND NOT in_feed AND (NOT yearly OR crowd <= 10)) OR (source = 'start_page' AND depth <= 1 AND NOT yearly)
+    QUALIFY row_number() OVER (PARTITION BY blog_id, queryless_key ORDER BY CASE role WHEN 'archives' THEN 0 WHEN 'main_page' THEN 1 ELSE 2 END, source, pos) = 1""")
 def _(t):
     links = with_canonical(order_urls(t.orders), "raw_url", "base_url").where("reject is null").select(
         c("site_id").alias("blog_id"), F.when(c("url_id") % 2 == 0, "start_page").otherwise("two_entries").alias("source"),
