@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake.llm.common import Scratch
+
 LEAST_COSINE = 0.7
 WORD = "[a-z0-9]+"
 #: Every notice names one of these.
@@ -68,7 +70,7 @@ def _names_stem(text: Column) -> Column:
     return found
 
 
-def own_licenses(files: DataFrame) -> DataFrame:
+def own_licenses(files: DataFrame, scratch: Scratch) -> DataFrame:
     """``(path, h, own_license, similarity)`` of the texts in ``files (path, text, h)`` that state a license."""
     spark = files.sparkSession
     idf, templates = template_words(spark)
@@ -77,7 +79,8 @@ def own_licenses(files: DataFrame) -> DataFrame:
     units = files.filter(_names_stem(F.col("text"))).select("path", "h", F.explode(F.array_distinct(F.concat(lines, blocks))).alias("unit")).filter(
         _names_stem(F.col("unit"))).select("path", "h", "unit").distinct().select(
         "path", "h", F.xxhash64("unit").alias("u"), F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(WORD), 0)).alias("word"))
-    counts = units.groupBy("path", "h", "u", "word").agg(F.count("*").alias("n"))
+    # Stored: lengths and products both read it, and the texts are scanned once.
+    counts = scratch.store(units.groupBy("path", "h", "u", "word").agg(F.count("*").alias("n")), "counts")
     rarest = F.lit(1.0 + len(TEMPLATES))
     weights = counts.join(F.broadcast(idf), "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.log(rarest) + 1))
     # One row for each unit and template; the words without a template add to the length only.
@@ -87,8 +90,11 @@ def own_licenses(files: DataFrame) -> DataFrame:
     same = [dots[c].eqNullSafe(norms[c]) for c in ("path", "h", "u")]
     scored = dots.join(norms, same).select(dots["path"], dots["h"], "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
     best = F.max(F.struct("similarity", "license"))
-    return scored.filter(F.col("similarity") >= LEAST_COSINE).groupBy("path", "h").agg(best.alias("b")).select(
+    own = scored.filter(F.col("similarity") >= LEAST_COSINE).groupBy("path", "h").agg(best.alias("b")).select(
         "path", "h", F.col("b.license").alias("own_license"), F.col("b.similarity").alias("similarity"))
+    own = scratch.store(own, "own")
+    scratch.drop("counts")
+    return own
 
 
 def _parent(path: Column) -> Column:
@@ -103,16 +109,17 @@ def file_licenses(files: DataFrame) -> DataFrame:
     from the file's own (0) up to the one whose license it takes.
     """
     keyed = files.select("doc_id", "path", "text", F.coalesce("notice", F.lit(False)).alias("notice"), F.xxhash64("text").alias("h"))
-    own = own_licenses(keyed.select("path", "text", "h"))
+    scratch = Scratch(files.sparkSession, "licenses")
+    own = own_licenses(keyed.select("path", "text", "h"), scratch)
     rows = keyed.drop("text")
-    mine = rows.join(own, rows["path"].eqNullSafe(own["path"]) & rows["h"].eqNullSafe(own["h"]), "left").select(
-        "doc_id", rows["path"], "notice", "own_license", "similarity", _parent(rows["path"]).alias("dir"))
+    mine = scratch.store(rows.join(own, rows["path"].eqNullSafe(own["path"]) & rows["h"].eqNullSafe(own["h"]), "left").select(
+        "doc_id", rows["path"], "notice", "own_license", "similarity", _parent(rows["path"]).alias("dir")), "files")
     votes = mine.filter("notice AND own_license IS NOT NULL AND dir IS NOT NULL").groupBy("dir", "own_license").agg(F.count("*").alias("n"))
     spoken = votes.groupBy("dir").agg(F.min_by("own_license", F.struct(-F.col("n"), F.col("own_license"))).alias("license"))
     # Each directory and those above it, by the number of steps up; the root is the empty path.
     parts = F.split("dir", "/")
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(parts))
-    above = rows.select(_parent(F.col("path")).alias("dir")).filter("dir IS NOT NULL").distinct().select(
+    above = mine.select("dir").filter("dir IS NOT NULL").distinct().select(
         "dir", F.explode(F.sequence(F.lit(0), depth)).alias("levels")).select(
         "dir", "levels", F.array_join(F.slice(F.split("dir", "/"), 1, depth - F.col("levels")), "/").alias("up"))
     nearest = above.join(spoken.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(
