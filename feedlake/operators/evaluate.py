@@ -66,8 +66,13 @@ def compare_titles(found: DataFrame, truth: DataFrame) -> DataFrame:
     inexact = F.filter(pairs, lambda p: p["f"] != p["t"])
     unlike = F.filter(inexact, lambda p: ~p["f"].endswith(p["t"]) & ~p["t"].startswith(p["f"]))
     same_length = F.size("_f") == F.size("_t")
-    overlap = F.size(F.filter("_f", lambda x: F.array_contains(F.col("_t"), x)))
-    counted = joined.withColumns({
+    # Membership by a join of single titles, not by a search of one list for each member of the other.
+    uneven = joined.where(~same_length)
+    ours_ = uneven.select("start_link_id", F.explode("_f").alias("title")).groupBy("start_link_id", "title").agg(F.count("*").alias("n"))
+    theirs = uneven.select("start_link_id", F.explode("_t").alias("title")).distinct()
+    common = ours_.join(theirs, ["start_link_id", "title"]).groupBy("start_link_id").agg(F.sum("n").cast("int").alias("_common"))
+    overlap = F.coalesce("_common", F.lit(0))
+    counted = joined.join(common, "start_link_id", "left").withColumns({
         "n_exact": F.when(same_length, F.size("_t") - F.size(inexact)).otherwise(overlap),
         "n_partial": F.when(same_length, F.size("_t") - F.size(unlike)).otherwise(overlap),
         "n_truth": F.size("_t"),

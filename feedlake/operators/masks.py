@@ -7,7 +7,7 @@ links are ever compared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions.ordered import first_per_key, position_chunk, with_previous, with_running_sum
@@ -84,10 +84,16 @@ def all_mask_groups(links: DataFrame) -> DataFrame:
 
 
 def order_masks(groups: DataFrame) -> DataFrame:
-    """Rank of each mask: most links whose own text is the feed title, then most inferred titles, then first on the page."""
-    own = F.count_if(F.col("is_feed") & (equalized_title(F.col("text")) == equalized_title(F.col("feed_title"))))
-    counts = groups.groupBy("page_id", "stars", "mask").agg(own.alias("n_own"), F.count("*").alias("n_links"), F.min("pos").alias("first_pos"))
-    return counts
+    """``mask_rank`` of each mask on its page, per number of stars: most links whose own text is the feed title, then most
+    whose inferred ``title`` is (the own text where no title column is given), then the first on the page."""
+    feed_title = equalized_title(F.col("feed_title"))
+    inferred = F.col("title") if "title" in groups.columns else F.col("text")
+    counts = groups.groupBy("page_id", "stars", "mask").agg(
+        F.count_if(F.col("is_feed") & (equalized_title(F.col("text")) == feed_title)).alias("n_own"),
+        F.count_if(F.col("is_feed") & (equalized_title(inferred) == feed_title)).alias("n_inferred"),
+        F.count("*").alias("n_links"), F.min("pos").alias("first_pos"))
+    order = [F.col("n_own").desc(), F.col("n_inferred").desc(), "first_pos", "mask"]
+    return counts.withColumn("mask_rank", F.row_number().over(Window.partitionBy("page_id", "stars").orderBy(*order)))
 
 
 def collapse_runs(groups: DataFrame) -> DataFrame:

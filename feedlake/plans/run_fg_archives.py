@@ -80,9 +80,9 @@ def _(t):
 
 @query("f02_order_masks", f"""WITH {PAGES_SQL}, m AS (SELECT p.page_id, mask, count(*) AS n_links, count(*) FILTER (WHERE is_feed) AS n_own, min(i) AS first FROM placed p JOIN li ON li.page_id = p.page_id AND li.s = p.s GROUP BY ALL
       UNION ALL SELECT p.page_id, mask, count(*), count(*) FILTER (WHERE is_feed), min(i) FROM placed p JOIN sec ON sec.page_id = p.page_id AND sec.j = p.j GROUP BY ALL)
-    SELECT page_id, mask, n_links, n_own FROM m""")
+    SELECT page_id, mask, n_links, n_own, row_number() OVER (PARTITION BY page_id ORDER BY n_own DESC, first, mask)::INT AS mask_rank FROM m""")
 def _(t):
-    return M.order_masks(M.mask_groups(mined(t)[3], 1)).select("page_id", "mask", "n_links", "n_own")
+    return M.order_masks(M.mask_groups(mined(t)[3], 1)).select("page_id", "mask", "n_links", "n_own", "mask_rank")
 
 
 @query("f03_infer_title_position", f"WITH {PAGES_SQL} SELECT page_id, mask, 'self' AS kind FROM one")
@@ -371,19 +371,22 @@ def _(t):
     return G.sort_with_pinned(lists, pinned, F.lit(1998)).select("blog_id", "key", F.date_format("date", "yyyy-MM-dd").alias("date"), "index")
 
 
-@query("g14_detect_page2", f"""WITH {ENTRIES_SQL}, one AS (SELECT feed_id, pos, key FROM entries WHERE pos < 2),
-    two AS (SELECT feed_id, CASE WHEN feed_id % 4 = 1 THEN -pos ELSE pos END AS pos, key FROM entries WHERE pos BETWEEN 2 AND 4 UNION ALL SELECT feed_id, 50, key FROM entries WHERE pos = 0 AND feed_id % 7 = 0),
+@query("g14_detect_page2", f"""WITH {ENTRIES_SQL}, halves AS (SELECT *, pos < (count(*) OVER (PARTITION BY feed_id) + 1) // 2 AS early FROM entries),
+    one AS (SELECT feed_id, pos, key FROM halves WHERE early),
+    two AS (SELECT feed_id, CASE WHEN feed_id % 4 = 1 THEN -pos ELSE pos END AS pos, key FROM halves WHERE NOT early UNION ALL SELECT feed_id, 1000000, key FROM entries WHERE pos = 0 AND feed_id % 7 = 0),
     seq AS (SELECT feed_id, key, row_number() OVER (PARTITION BY feed_id ORDER BY pos) - 1 AS sp FROM two), s1 AS (SELECT feed_id, count(*) AS size1 FROM one GROUP BY 1),
     s2 AS (SELECT feed_id, count(*) AS size2, count(DISTINCT key) AS d FROM two GROUP BY 1),
     bad AS (SELECT DISTINCT feed_id FROM two JOIN one USING (feed_id, key)),
     hits AS (SELECT s.feed_id, bool_and(EXISTS (SELECT 1 FROM entries b WHERE b.feed_id = e.feed_id AND b.bucket = e.bucket AND b.key = s.key)) AS ok FROM seq s JOIN s1 USING (feed_id) JOIN entries e ON e.feed_id = s.feed_id AND e.pos = sp + size1 GROUP BY 1)
     SELECT feed_id, 'm' AS mask, size1, size2 FROM s2 JOIN s1 USING (feed_id) LEFT JOIN hits USING (feed_id) WHERE size2 = d AND feed_id NOT IN (SELECT feed_id FROM bad) AND coalesce(ok, true)""")
 def _(t):
+    # The first half of a feed is page one, the rest page two.
     e = entries(t)
-    rows = e.select("feed_id", F.lit("m").alias("mask"), "pos", "key")
-    turned = rows.where("pos between 2 and 4").withColumn("pos", F.when(c("feed_id") % 4 == 1, -c("pos")).otherwise(c("pos")))
-    repeated = rows.where("pos = 0 and feed_id % 7 = 0").withColumn("pos", F.lit(50).cast("long"))
-    return G.detect_page2(rows.where("pos < 2"), turned.unionByName(repeated), e)
+    sizes = e.groupBy("feed_id").agg(F.floor((F.count("*") + 1) / 2).alias("half"))
+    rows = e.join(sizes, "feed_id").select("feed_id", F.lit("m").alias("mask"), "pos", "key", (c("pos") < c("half")).alias("early"))
+    turned = rows.where("not early").withColumn("pos", F.when(c("feed_id") % 4 == 1, -c("pos")).otherwise(c("pos")))
+    repeated = rows.where("pos = 0 and feed_id % 7 = 0").withColumn("pos", F.lit(1_000_000).cast("long"))
+    return G.detect_page2(rows.where("early").drop("early"), turned.unionByName(repeated).drop("early"), e)
 
 
 @query("g02_detect_sorted_first", f"""WITH {ENTRIES_SQL}, n AS (SELECT feed_id, count(*) AS n FROM entries GROUP BY 1), fb AS (SELECT feed_id, count(*) AS b FROM entries e WHERE bucket = (SELECT min(bucket) FROM entries x WHERE x.feed_id = e.feed_id) GROUP BY 1),
