@@ -72,13 +72,23 @@ def first_text(text: Column, name: str) -> Column:
 
 
 def raw_attribute(tag: Column, name: str) -> Column:
-    """Attribute value as written, null when absent."""
-    pattern = rf"\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
-    groups = F.concat(F.regexp_extract_all(tag, F.lit(pattern), 1), F.regexp_extract_all(tag, F.lit(pattern), 2))
+    """Attribute value as written, null when absent; names in any case, values with either quotes or none."""
+    pattern = rf"(?i)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    groups = F.concat(*(F.regexp_extract_all(tag, F.lit(pattern), k) for k in (1, 2, 3)))
     values = F.filter(groups, lambda v: v != "")
     return F.when(F.size(groups) > 0, F.coalesce(F.get(values, F.lit(0)), F.lit("")))
 
 
+def live_markup(html: Column) -> Column:
+    """Html without comments and without the bodies of scripts and styles."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+
+
+def start_tags(html: Column, names: str) -> Column:
+    """Array of the start tags of elements whose names match a pattern, in document order."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{names})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), 0)
+
+
 def attribute(tag: Column, name: str) -> Column:
     return decode_entities(raw_attribute(tag, name))
 

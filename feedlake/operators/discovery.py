@@ -37,7 +37,7 @@ def normalize_start_urls(df: DataFrame, url: str, hosted_domain: str) -> DataFra
 
 def advertised_feeds(pages: DataFrame) -> DataFrame:
     """Feeds that pages ``(page_id, url, html)`` announce with ``rel=alternate``: ``(page_id, pos, title, feed_url)``."""
-    tag = F.regexp_extract_all("html", F.lit(r"(?is)<(?:a|area|link)\s[^>]*>(?:[^<]*</a>)?"), 0)
+    tag = F.regexp_extract_all(X.live_markup(F.col("html")), F.lit(r"(?is)<(?:a|area|link)\s[^>]*>(?:[^<]*</a>)?"), 0)
     tags = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(tag).alias("pos", "_tag"))
     head = F.regexp_extract("_tag", "(?s)^<[^>]*>", 0)
     found = tags.where((X.raw_attribute(head, "rel") == "alternate") & X.raw_attribute(head, "type").isin(FEED_TYPES))
@@ -159,14 +159,23 @@ def start_page_for_feed(feeds: DataFrame, pages: DataFrame) -> DataFrame:
 
 def detect_platform(pages: DataFrame) -> DataFrame:
     """Platform markers of pages ``(page_id, url, html)``."""
+    live = pages.select("page_id", "url", X.live_markup(F.col("html")).alias("html"))
     html = F.col("html")
-    articles = F.size(F.regexp_extract_all("html", F.lit(r"(?i)<article[\s>]"), 0))
+
+    def value(tag: Column, name: str) -> Column:
+        return F.coalesce(X.raw_attribute(tag, name), F.lit(""))
+
     path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
-    return pages.select(
-        "page_id", html.rlike(r"(?i)<(?:a|button)\s[^>]*class=[\"'][^\"']*load-more").alias("has_load_more"),
-        (html.rlike(r"(?i)<link\s[^>]*type=[\"']application/rss\+xml[\"'][^>]*href=[\"']https://medium\.") & (articles == 10)).alias("is_article_list"),
-        (path.rlike("/archive/*$") & html.rlike(r"(?i)class=[\"'][^\"']*footer-substack")).alias("is_newsletter_archive"),
-        html.rlike(r"(?i)<meta\s[^>]*name=[\"']twitter:site[\"'][^>]*content=[\"']@buttondown[\"']").alias("is_newsletter"))
+    rss_link = F.exists(X.start_tags(html, "link"), lambda t: (value(t, "type") == "application/rss+xml") & value(t, "href").startswith("https://medium."))
+    site = F.exists(X.start_tags(html, "meta"), lambda t: (value(t, "name") == "twitter:site") & (value(t, "content") == "@buttondown"))
+    # Texts that lack the word at all need no look at their tags.
+    return live.select(
+        "page_id",
+        (html.contains("load-more") & F.exists(X.start_tags(html, "a|button"), lambda t: value(t, "class").contains("load-more"))).alias("has_load_more"),
+        (html.contains("https://medium.") & rss_link & (F.size(X.start_tags(html, "article")) == 10)).alias("is_article_list"),
+        (path.rlike("/archive/*$") & html.contains("footer-substack") & F.exists(
+            X.start_tags(html, r"\w+"), lambda t: value(t, "class").contains("footer-substack"))).alias("is_newsletter_archive"),
+        (html.contains("@buttondown") & site).alias("is_newsletter"))
 
 
 def non_post_report(entries: DataFrame) -> DataFrame:

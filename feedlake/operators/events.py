@@ -74,7 +74,8 @@ def schedule_events(metrics: DataFrame, event_type: str) -> DataFrame:
 
 
 def _is_skipped_bot(events: DataFrame) -> Column:
-    allowed = F.coalesce(F.get_json_object("user_properties", "$.allow_bots"), F.lit("false")) == "true"
+    # Any value but false and null lets bots in.
+    allowed = F.coalesce(F.get_json_object("user_properties", "$.allow_bots"), F.lit("false")) != "false"
     return F.col("bot_name").isNotNull() & F.col("user_properties").isNotNull() & ~allowed
 
 
@@ -87,6 +88,12 @@ def dispatch_batch(events: DataFrame) -> DataFrame:
         F.col("user_ip").alias("ip"), F.col("id").alias("event_id"), F.col("id").cast("string").alias("insert_id"))
 
 
+def stamp_dispatched(events: DataFrame, now: Column) -> DataFrame:
+    """Events as they are stored after a dispatch: all that were pending are stamped, skipped bots too, or they would come
+    again with each batch."""
+    return events.withColumn("dispatched_at", F.coalesce("dispatched_at", now))
+
+
 def bot_skip_counts(events: DataFrame) -> DataFrame:
     skipped = events.where("dispatched_at is null").where(_is_skipped_bot(events))
     return skipped.groupBy("bot_name").agg(F.count("*").alias("n_skipped"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions import urls as U
+from feedlake.functions import xmlfeeds as X
 from feedlake.functions.dates import text_date
 from feedlake.functions.dom import NODE_SCHEMA, page_nodes
 from feedlake.functions.ordered import first_per_key
@@ -75,10 +76,13 @@ def dated_nodes(found: DataFrame) -> DataFrame:
 
 def page_titles(pages: DataFrame, prefer_og: Column | None = None) -> DataFrame:
     """Title per page: ``og:title`` where present and preferred, else the title element."""
-    og = F.regexp_extract("html", r"(?is)<meta\s[^>]*property=[\"']og:title[\"'][^>]*content=\"([^\"]*)\"", 1)
-    title = F.regexp_extract("html", r"(?is)<title(?:\s[^>]*)?>(.*?)</title>", 1)
-    use_og = (og != "") & (F.lit(True) if prefer_og is None else prefer_og)
-    return pages.select("page_id", normalized_title(F.when(use_og, og).otherwise(title)).alias("title"))
+    prefer = F.lit(True) if prefer_og is None else prefer_og
+    live = pages.withColumns({"_live": X.live_markup(F.col("html")), "_prefer": prefer})
+    metas = F.filter(X.start_tags(F.col("_live"), "meta"), lambda tag: X.raw_attribute(tag, "property") == "og:title")
+    read = live.select("page_id", "_prefer", F.coalesce(X.attribute(F.get(metas, F.lit(0)), "content"), F.lit("")).alias("_og"),
+                       F.regexp_extract("_live", r"(?is)<title(?:\s[^>]*)?>(.*?)</title>", 1).alias("_title"))
+    use_og = (F.col("_og") != "") & F.col("_prefer")
+    return read.select("page_id", normalized_title(F.when(use_og, F.col("_og")).otherwise(F.col("_title"))).alias("title"))
 
 
 def _common_prefix(a: Column, b: Column) -> Column:

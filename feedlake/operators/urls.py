@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions import urls as U
+from feedlake.functions import xmlfeeds as X
 from feedlake.functions.ordered import first_per_key
 from feedlake.session import checkpointed
 
@@ -106,9 +107,8 @@ def redirect_edges(responses: DataFrame) -> DataFrame:
 
     ``responses(fetch_url, code, content_type, location, body)`` with ``body`` as text.
     """
-    meta = F.regexp_extract(
-        "body", r"(?is)<meta[^>]*http-equiv=[\"']?refresh[\"']?[^>]*content=[\"']([^\"']*)[\"']", 1)
-    refresh = F.regexp_extract(meta, r"\d+; *(?:URL|url)=(.+)", 1)
+    metas = F.filter(X.start_tags(X.live_markup(F.col("body")), "meta"), lambda tag: F.lower(X.raw_attribute(tag, "http-equiv")) == "refresh")
+    refresh = F.coalesce(F.regexp_extract(X.raw_attribute(F.get(metas, F.lit(0)), "content"), r"\d+; *(?:URL|url)=(.+)", 1), F.lit(""))
     is_html = F.trim(F.substring_index("content_type", ";", 1)) == "text/html"
     raw = F.when(F.col("code").startswith("3"), F.coalesce("location", F.lit(""))).when(
         (F.col("code") == "200") & is_html & (refresh != ""), refresh)

@@ -110,7 +110,7 @@ def page_title_rows(t):
     # Blogs share a prefix; two thirds of them share a suffix, too.
     title = F.concat(F.lit("Blog "), c("blog_id"), F.lit(": "), c("doc_id").cast("string"), F.lit(" t"), (c("doc_id") % 7).cast("string"),
                      F.when(F.length("blog_id") % 3 == 0, "").otherwise("... - The End"))
-    return titles(t).select("blog_id", "doc_id", title.alias("title"))
+    return t.documents.select("doc_id", c("source").alias("blog_id")).select("blog_id", "doc_id", title.alias("title"))
 
 
 AFFIX_SQL = """rows AS (SELECT source AS blog_id, doc_id, doc_id || ' t' || (doc_id % 7) AS core, 'Blog ' || source || ': ' AS p, CASE WHEN length(source) % 3 = 0 THEN '' ELSE '... - The End' END AS s FROM documents),

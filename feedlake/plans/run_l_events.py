@@ -78,6 +78,11 @@ def _(t):
     return O.dispatch_batch(product_events(t)).select("event_id", "user_id", "event_type", "time", "insert_id", "platform", "os_version")
 
 
+@query("l05_stamp_dispatched", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN ts ELSE TIMESTAMP '2030-01-01' END AS dispatched_at FROM events")
+def _(t):
+    return O.stamp_dispatched(product_events(t), F.lit("2030-01-01").cast("timestamp")).select(c("id").alias("event_id"), "dispatched_at")
+
+
 @query("l05_bot_skip_counts", f"WITH {BOTS_SQL} SELECT bot_name, count(*) AS n_skipped FROM e WHERE pending AND skipped GROUP BY 1")
 def _(t):
     return O.bot_skip_counts(product_events(t))
