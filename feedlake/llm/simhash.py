@@ -98,7 +98,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Stored ``(doc_id, fp)`` of every row, and ``(fp, component_id)`` of every distinct fingerprint."""
+    """Stored ``(doc_id, fp)`` of every row, and ``(fp, label, component_id)`` of every distinct fingerprint."""
     derived, name = with_text(docs.select("doc_id", "text"), simhash)
     rows = scratch.store(derived.select("doc_id", F.col(f"{name}.fp").alias("fp")), "fingerprints")
     values = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
@@ -106,8 +106,9 @@ def simhash_groups(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     labels = connected_components(links, scratch)
     # Stored, so that the join on a label can split the label of a huge component.
     smallest = scratch.store(values.join(labels, values.fp == labels.node).groupBy("label").agg(F.min("first_id").alias("component_id")), "smallest")
-    linked = labels.join(smallest, "label").select(F.col("node").alias("fp"), "component_id")
-    return rows, values.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked = labels.join(smallest, "label").select(F.col("node").alias("fp"), "label", "component_id")
+    return rows, values.join(linked, "fp", "left").select(
+        "fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "first_id").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -126,10 +127,10 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     _, groups = simhash_groups(docs, scratch)
     groups = scratch.store(groups, "groups")
     derived, name = with_text(docs, simhash)
-    fp, cid, rank = (unused(docs, x) for x in ("_fp", "_component", "_rank"))
-    # Rank limits prune each partition before the shuffle; the winner has the component's id unless that is null.
+    fp, label, cid, rank = (unused(docs, x) for x in ("_fp", "_label", "_component", "_rank"))
+    # Rank limits prune each partition before the shuffle; the winner has the component's id, null if all are.
     joined = derived.withColumn(fp, F.col(f"{name}.fp")).drop(name).join(
-        groups.select(F.col("fp").alias(fp), F.col("component_id").alias(cid)), fp)
+        groups.select(F.col("fp").alias(fp), F.col("label").alias(label), F.col("component_id").alias(cid)), fp)
     candidates = joined.filter(F.col("doc_id").eqNullSafe(F.col(cid)))
-    order = Window.partitionBy(cid, F.when(F.col(cid).isNull(), F.col(fp))).orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return candidates.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(fp, cid, rank)
+    order = Window.partitionBy(label).orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    return candidates.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(fp, label, cid, rank)
