@@ -37,6 +37,8 @@ class _Nodes(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack = []  # [tag, xpath, class xpath, counts of child tags, open row]
+        self.open_rows = []  # the open elements that have a row: few, however deep the page nests
+        self.open_tags = {}
         self.counts = {}
         self.rows = []
 
@@ -62,27 +64,33 @@ class _Nodes(HTMLParser):
             self._touch()
         if tag not in VOID:
             self.stack.append([tag, xpath, class_xpath, {}, row])
+            self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+            if row is not None:
+                self.open_rows.append(row)
 
     def _touch(self):
-        for entry in self.stack:
-            if entry[4] is not None:
-                entry[4][7] = False
+        for row in self.open_rows:
+            row[7] = False
 
     def _close(self):
-        self.stack.pop()
+        tag, _xpath, _class_xpath, _counts, row = self.stack.pop()
+        self.open_tags[tag] -= 1
+        if row is not None:
+            self.open_rows.pop()
+        return tag
 
     def handle_endtag(self, tag):
-        if any(entry[0] == tag for entry in self.stack):
-            while self.stack.pop()[0] != tag:
+        if self.open_tags.get(tag):
+            while self._close() != tag:
                 pass
 
     def handle_data(self, data):
         if not self.stack or self.stack[-1][0] in ("script", "style"):
             return
         self._touch()
-        for entry in self.stack:
-            if entry[4] is not None and entry[0] == "a":
-                entry[4][6] = (entry[4][6] or "") + data
+        for row in self.open_rows:
+            if row[0] == "a":
+                row[6] = (row[6] or "") + data
         if data.strip():
             _tag, xpath, class_xpath, counts, _row = self.stack[-1]
             counts["text()"] = counts.get("text()", 0) + 1

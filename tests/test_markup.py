@@ -51,3 +51,14 @@ def test_platforms(spark):
     assert marks("<link href='https://medium.com/feed' type='application/rss+xml'>" + "<article>x</article>" * 10) == ["is_article_list"]
     for hidden in HIDDEN:
         assert marks(hidden.format("<button class='load-more'>x</button>")) == []
+
+
+def test_deeply_nested_page_finishes():
+    from feedlake.functions.dom import _Nodes
+
+    depth = 3000
+    parser = _Nodes()
+    parser.feed("<body>" + "<div>" * depth + '<a href="/x">in<b>side</b></a>' + "text</div>" * depth + '<a href="/y"></a></body>')
+    links = [r for r in parser.rows if r[0] == "a"]
+    assert [(r[3], r[6], r[7]) for r in links] == [("/x", "inside", False), ("/y", None, True)]
+    assert links[1][1] == "/body[1]/a[1]"
