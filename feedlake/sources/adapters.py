@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HREF_PATTERN = '<a href="([^"]*)"'
+from feedlake.functions import xmlfeeds as X
 
 
 def page_hrefs(pages: DataFrame) -> DataFrame:
-    """``(page_id, page_url, pos, href)`` of every anchor, in document order."""
-    return pages.select("page_id", F.col("url").alias("page_url"),
-                        F.posexplode(F.regexp_extract_all("html", F.lit(HREF_PATTERN), 1)).alias("pos", "href"))
+    """``(page_id, page_url, pos, href)`` of every anchor with a target, in document order, however its tag is written."""
+    tags = X.start_tags(X.live_markup(F.col("html")), "a")
+    hrefs = F.filter(F.transform(tags, lambda tag: X.attribute(tag, "href")), lambda href: href.isNotNull())
+    return pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(hrefs).alias("pos", "href"))
 
 
 def order_urls(orders: DataFrame) -> DataFrame:
