@@ -180,3 +180,10 @@ def test_merge_against_sequential_rule(spark):
     merged = mining.merge_feed_lists(spark.createDataFrame(rows, "seq long, url string, feed_url string"),
                                      spark.createDataFrame(scores, "url string, sum_score long, n long")).collect()
     assert {r.feed_url: [r.url, r.sum_score] for r in merged} == feed_rows
+
+
+def test_documents_are_scanned_once(spark, tmp_path):
+    spark.createDataFrame([(1, "https://root/feed", rss(link("a")))], "feed_id long, fetch_url string, content string").write.parquet(str(tmp_path / "docs"))
+    parsed = feeds.parse_feeds(spark.read.parquet(str(tmp_path / "docs")))
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1

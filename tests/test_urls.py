@@ -105,3 +105,13 @@ def test_same_hosts_and_post_paths(spark):
                      U.equality_key(parts, hosts, F.lit(True)).alias("e")).collect()
     assert rows[0].k == rows[1].k != rows[2].k
     assert rows[0].e == rows[1].e == rows[2].e
+
+
+def test_stored_rules_have_the_columns_the_operators_read(spark):
+    from feedlake.operators.urls import canonical_key
+    from feedlake.sources.tables import schema_of
+
+    rules = spark.createDataFrame([(1, ["a.example", "www.a.example"], True)], schema_of("blog_canonical_equality_configs"))
+    links = U.with_canonical(spark.createDataFrame([(1, "https://www.a.example/post/4/x"), (2, "https://b.example/post/4/x")], "blog_id long, url string"), "url")
+    keys = {r.blog_id: r.key for r in canonical_key(links, rules).collect()}
+    assert keys == {1: ":same_hosts//post/4?", 2: "b.example//post/4/x?"}
