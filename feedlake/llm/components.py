@@ -30,4 +30,5 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "labels
         scratch.drop(f"{name}-{step - 1}")
         labels = new.select("node", "label")
         if not moved:
+            scratch.drop(f"{name}-edges")
             return labels

@@ -113,7 +113,11 @@ def simhash_groups(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
-    rows, groups = simhash_groups(docs, Scratch(docs.sparkSession, "simhash"))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, groups = simhash_groups(docs, scratch)
+    # Stored, so that the join can split a fingerprint that very many copies share.
+    groups = scratch.store(groups, "groups")
+    scratch.drop("links", "smallest")
     return rows.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
