@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,7 +45,9 @@ _FIXED_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Words after which a string is sensitive.
 CONTEXT_WORDS = (*_FIXED_WORDS, "credential", "private key", "private_key", "access key", "access_key", "bearer", "authorization")
 CONTEXT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)))
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+LEAST_LENGTH = 12
+RUN_START = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _CLASSES = [re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]")]
 _PLAIN_WORD = re.compile("[A-Z]?[a-z]+(?:[-_][A-Z]?[a-z]+)*")
 #: Names and values seen in much source code.
@@ -85,22 +88,38 @@ def find_spans(text: str) -> list[tuple[str, int, int, int]]:
 def _novel(text: str, known: list[tuple[str, int, int, int]]) -> Iterator[tuple[str, int, int, int]]:
     # Lower case by ASCII letters alone keeps positions.
     low = text.translate(_LOWER)
+    starts, ends = _union([(s, e) for _, s, e, _ in known])
     done = 0
     for word in CONTEXT.finditer(low):
-        for m in CANDIDATE.finditer(text, max(word.end(), done), len(text)):
-            start, end = m.span()
-            if start > word.end() + REACH:
-                break
+        for first in RUN_START.finditer(text, max(word.end(), done), word.end() + REACH + 1):
+            run = RUN.match(text, first.start())
+            start, end = run.span()
+            if end - start < LEAST_LENGTH:
+                continue
             done = end
-            if _PLAIN_WORD.fullmatch(m[0]) or sum(bool(c.search(m[0])) for c in _CLASSES) < 2:
+            if _PLAIN_WORD.fullmatch(run[0]) or sum(bool(c.search(run[0])) for c in _CLASSES) < 2:
                 continue
-            if any(start < e and s < end for _, s, e, _ in known):
+            at = bisect_left(starts, end)
+            if at and ends[at - 1] > start:
                 continue
             around = text[max(0, start - AROUND):start] + " " + text[end:end + AROUND]
-            if _cost(m[0].encode(), around.encode()) >= MIN_COST:
+            if _cost(run[0].encode(), around.encode()) >= MIN_COST:
                 yield "novel", start, end, start
 
 
+def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 

@@ -39,6 +39,16 @@ def test_novel_strings_near_sensitive_words():
     assert s.find_spans(far + KEY) == []
 
 
+def test_reach_counts_to_the_start_and_long_texts_stay_linear():
+    fits = "token " + "x " * ((s.REACH - 2) // 2)
+    assert [x[0] for x in s.find_spans(fits + KEY)] == ["novel"]
+    assert s.find_spans(fits + "x x " + KEY) == []
+    many = "token and " * 30_000 + KEY
+    assert [x[0] for x in s.find_spans(many)] == ["novel"]
+    # A run that repeats itself compresses well.
+    assert s.find_spans("token " + "Zx8" * 20_000) == []
+
+
 def test_table_of_odd_rows(spark):
     got = s.secret_table(corpus.odd(spark))
     none = hashlib.sha256(b"").hexdigest()
