@@ -16,7 +16,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-@query("op2_suffix_dedup")
+@query("op2_suffix_dedup", suffix_dedup.ORACLE_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
 

@@ -287,3 +287,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return own.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "starts", "sizes").mapInArrow(
         _cut_out, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+
+
+#: The definition itself, over every window of every text.
+ORACLE_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT r, h, unnest(range(len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400),
+named AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS name FROM starts),
+repeated AS (SELECT r, i FROM named WHERE name IN (SELECT name FROM named GROUP BY name HAVING count(*) > 1)),
+edges AS (SELECT r, i, coalesce(i > lag(i) OVER w + 200, true) AS opens FROM repeated WINDOW w AS (PARTITION BY r ORDER BY i)),
+spans AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM edges) GROUP BY r, k),
+gaps AS (SELECT r, s AS stop, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS since FROM (
+    SELECT r, s, e FROM spans UNION ALL SELECT r, len(h) // 2, len(h) // 2 FROM d)),
+kept AS (SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (stop - since)), '' ORDER BY stop, since) AS k FROM gaps JOIN d USING (r) GROUP BY r),
+sizes AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sizes USING (r)"""
