@@ -44,3 +44,35 @@ def test_odd_documents(spark):
     got = lic.file_licenses(lic.document_paths(docs))
     assert got.count() == len(corpus.ODD) and got.filter("license IS NOT NULL").count() == 0
     assert lic.file_licenses(lic.document_paths(docs.filter(F.lit(False)))).count() == 0
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Jane Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+#: Expected licenses written by hand, apart from the template table.
+SHAPES = [
+    ("proprietary", "All rights reserved."), ("proprietary", "Copyright 2020 Foo Inc. All rights reserved."),
+    ("MIT", MIT_FILE), ("MIT", " ".join(MIT_FILE.split("\n\n")[2].split())), ("MIT", "MIT License"), ("MIT", "# License: MIT"),
+    ("ISC", "Licensed under the ISC License."), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2"),
+    ("GPL-2.0", "   GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nCopyright (C) 1989, 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0 */"), ("LGPL-2.1", "GNU Lesser General Public License\nVersion 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"), ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "// SPDX-License-Identifier: BSD-2-Clause"), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+]
+
+
+def test_each_shape_states_its_own_license(spark):
+    rows = [(i, f"{i}/f", text, False) for i, (_, text) in enumerate(SHAPES)]
+    rows += [(100, "p/f", "Released under the Foo License.", False), (101, "q/f", "SPDX-License-Identifier: Zlib", False)]
+    got = {r.doc_id: r.own_license for r in lic.file_licenses(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(SHAPES)} | {100: None, 101: None}
