@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.common import Scratch, text_function, unused, with_text
 from feedlake.llm.components import connected_components
+from feedlake.llm.near_copies import near_groups, set_key
 
 SEED = 42
 THRESHOLD = 3
@@ -122,19 +123,25 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all columns: the one with the smallest id.
+    """One row of each component of near copies (``near_copies``: 80 % of five-word shingles), with all columns: the one
+    with the smallest id.
 
     Rows with the same id (or all ids null) are told apart by a hash of the text, then arbitrarily but once: the choice
     is stored before it is applied.
     """
-    scratch = Scratch(docs.sparkSession, "simhash-dedup")
-    _, groups = simhash_groups(docs, scratch)
-    groups = scratch.store(groups, "groups")
-    derived, name = with_text(docs, simhash)
-    fp, label, cid, rank = (unused(docs, x) for x in ("_fp", "_label", "_component", "_rank"))
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    near = near_groups(docs, scratch)
+    derived, name = with_text(docs, set_key)
+    key, label, cid, rank = (unused(docs, x) for x in ("_key", "_label", "_component", "_rank"))
+    keyed = derived.withColumn(key, F.col(f"{name}.key")).drop(name)
+    # The smallest id of each set, then of its component; texts stay out of both joins.
+    values = scratch.store(keyed.groupBy(key).agg(F.min("doc_id").alias("first_id")), "values")
+    named = values.join(near.select(F.col("key").alias(key), F.col("label").alias("near")), key, "left").select(
+        key, F.coalesce("near", key).alias(label), "first_id")
+    named = scratch.store(named, "named")
+    smallest = scratch.store(named.groupBy(label).agg(F.min("first_id").alias(cid)), "smallest")
+    groups = scratch.store(named.join(smallest, label).select(key, label, cid), "groups")
     # Rank limits prune each partition before the shuffle; the winner has the component's id, null if all are.
-    joined = derived.withColumn(fp, F.col(f"{name}.fp")).drop(name).join(
-        groups.select(F.col("fp").alias(fp), F.col("label").alias(label), F.col("component_id").alias(cid)), fp)
-    candidates = joined.filter(F.col("doc_id").eqNullSafe(F.col(cid)))
+    candidates = keyed.join(groups, key).filter(F.col("doc_id").eqNullSafe(F.col(cid)))
     order = Window.partitionBy(label).orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return candidates.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(fp, label, cid, rank)
+    return candidates.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(key, label, cid, rank)
