@@ -3,8 +3,10 @@
 Fixed shapes (leftmost matches that do not overlap, per kind): ``assign``, a value of 12 or more characters set to a
 sensitive name; ``access``, a key id of 18 or more characters; ``hex``, a run of 16 or more hexadecimal digits.
 
-Novelty adds the kind ``novel``: a candidate is a run of 12 or more key characters that starts within ``REACH``
-characters after a sensitive word and mixes at least two kinds of characters (a capitalised word does not). Its cost is the number of bytes that
+Novelty adds the kind ``novel``: a candidate is a token of 12 or more key characters, dot-joined parts included, that
+starts within ``REACH`` characters after a sensitive word, also directly after it. Of ``name=value`` each side is a candidate,
+and what stands up to the last sensitive word in it is no part. A candidate mixes at least two kinds of characters (a
+capitalised word does not); of dot-joined parts one that is novel is enough. Its cost is the number of bytes that
 zstandard adds for it when primed with a dictionary of common identifiers and of the text around the candidate. Names,
 paths and words that occur nearby or are well known cost a few bytes; keys cost about one byte a character. Candidates
 at or above ``MIN_COST`` bytes a character are reported unless a fixed shape covers part of them.
@@ -46,8 +48,10 @@ _FIXED_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 CONTEXT_WORDS = (*_FIXED_WORDS, "credential", "private key", "private_key", "access key", "access_key", "bearer", "authorization")
 CONTEXT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)))
 LEAST_LENGTH = 12
-RUN_START = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+TOKEN_START = re.compile(r"[A-Za-z0-9+/_=-]")
+#: Between a name and its value; '=' that only fills up a value is none.
+SET_TO = re.compile(r"=(?=[^=.])")
 _CLASSES = [re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]")]
 _PLAIN_WORD = re.compile("[A-Z]?[a-z]+(?:[-_][A-Z]?[a-z]+)*")
 #: Names and values seen in much source code.
@@ -91,20 +95,57 @@ def _novel(text: str, known: list[tuple[str, int, int, int]]) -> Iterator[tuple[
     starts, ends = _union([(s, e) for _, s, e, _ in known])
     done = 0
     for word in CONTEXT.finditer(low):
-        for first in RUN_START.finditer(text, max(word.end(), done), word.end() + REACH + 1):
-            run = RUN.match(text, first.start())
-            start, end = run.span()
+        at, last = max(word.end(), done), word.end() + REACH
+        while at <= last and (first := TOKEN_START.search(text, at, last + 1)):
+            start, end = first.start(), TOKEN.match(text, first.start()).end()
+            at = end
             if end - start < LEAST_LENGTH:
                 continue
+            # Each token is taken once, so that long ones stay linear.
             done = end
-            if _PLAIN_WORD.fullmatch(run[0]) or sum(bool(c.search(run[0])) for c in _CLASSES) < 2:
-                continue
-            at = bisect_left(starts, end)
-            if at and ends[at - 1] > start:
-                continue
-            around = text[max(0, start - AROUND):start] + " " + text[end:end + AROUND]
-            if _cost(run[0].encode(), around.encode()) >= MIN_COST:
-                yield "novel", start, end, start
+            for s, e in _values(text, low, start, end):
+                whole = [(s, e)] if not _covered(s, e, starts, ends) else [x for x in _parts(text, s, e) if not _covered(*x, starts, ends)]
+                for s_, e_ in whole:
+                    if _is_novel(text, s_, e_):
+                        yield "novel", s_, e_, s_
+
+
+def _values(text: str, low: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The values of a token: what stands after ``=`` and after sensitive words; the whole token if all are short."""
+    cuts = [m.start() for m in SET_TO.finditer(text, start, end)]
+    found = []
+    for s, e in zip([start, *(c + 1 for c in cuts)], [*cuts, end], strict=True):
+        for word in CONTEXT.finditer(low, s, e):
+            s = word.end()
+        if 0 < s < e and text[s] in "-_/" and text[s - 1].isalnum():
+            s += 1
+        if e - s >= LEAST_LENGTH:
+            found.append((s, e))
+    return found or [(start, end)]
+
+
+def _parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The stretches between dots."""
+    cuts = [i for i in range(start, end) if text[i] == "."]
+    return list(zip([start, *(c + 1 for c in cuts)], [*cuts, end], strict=True))
+
+
+def _covered(start: int, end: int, starts: list[int], ends: list[int]) -> bool:
+    at = bisect_left(starts, end)
+    return bool(at) and ends[at - 1] > start
+
+
+def _is_novel(text: str, start: int, end: int) -> bool:
+    """Whether a part of 12 or more characters is novel; a string of shorter parts is judged as a whole."""
+    parts = [(s, e) for s, e in _parts(text, start, end) if e - s >= LEAST_LENGTH] or [(start, end)]
+    for s, e in parts:
+        run = text[s:e]
+        if e - s < LEAST_LENGTH or all(_PLAIN_WORD.fullmatch(x) for x in run.split(".")) or sum(bool(c.search(run)) for c in _CLASSES) < 2:
+            continue
+        around = text[max(0, s - AROUND):s] + " " + text[e:e + AROUND]
+        if _cost(run.encode(), around.encode()) >= MIN_COST:
+            return True
+    return False
 
 
 def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:

@@ -49,6 +49,26 @@ def test_reach_counts_to_the_start_and_long_texts_stay_linear():
     assert s.find_spans("token " + "Zx8" * 20_000) == []
 
 
+AWS = "wJalrXUtnFEMIK7MDENGbPxRfiCYzz81Qk"
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVPmB92K27uhbUJU1p1r"
+
+
+@pytest.mark.parametrize(("before", "value", "after"), [
+    ("AWS_SECRET_ACCESS_KEY=", AWS, ""), ("private_key=", KEY, "\n"), ("password_hash=", KEY, " x"), ("credential=", KEY, ""),
+    ("credential-", KEY, ""), ("/credential/", KEY, "?x"), ("private_key: ", KEY, ""), ("credential=", KEY + "==", " x"),
+    ("Authorization: Bearer ", JWT, " ok"), ("https://h.org/?access_key=", KEY, "&x=1"), ("private_key=", "/" + KEY, ""),
+])
+def test_values_glued_to_their_word_and_dotted_tokens(before, value, after):
+    spans = s.find_spans(before + value + after)
+    assert [x[:3] for x in spans] == [("novel", len(before), len(before + value))]
+
+
+def test_tokens_of_many_words_and_dots_stay_linear():
+    assert s.find_spans("token" * 100_000) == []
+    assert len(s.find_spans("private_key_" * 30_000 + KEY)) == 1
+    assert len(s.find_spans("secret Zx81kq0LmP77vTqa2.0123456789abcdef0123456789")) == 2
+
+
 def test_table_of_odd_rows(spark):
     got = s.secret_table(corpus.odd(spark))
     none = hashlib.sha256(b"").hexdigest()
