@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlake.llm import bpe, decontaminate, licenses, maxent, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from feedlake.llm import bpe, decontaminate, licenses, maxent, merkle, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
 from feedlake.llm.common import table
 from feedlake.llm.registry import query
 
@@ -60,3 +60,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_license_scan", licenses.ORACLE_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.file_licenses(licenses.document_paths(table(spark, folder, "documents")))
+
+
+@query("op13_merkle_manifest", merkle.ORACLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, folder, "documents"))
