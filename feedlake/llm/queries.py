@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlake.llm import bpe, decontaminate, divergence, licenses, maxent, merkle, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from feedlake.llm import bpe, decontaminate, divergence, licenses, maxent, merkle, order_minhash, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity
 from feedlake.llm.common import table
 from feedlake.llm.registry import query
 
@@ -62,6 +62,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.file_licenses(licenses.document_paths(table(spark, folder, "documents")))
 
 
+@query("op11_order_minhash")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.edited_table(table(spark, folder, "documents"))
+
+
 @query("op12_source_divergence", divergence.ORACLE_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence_table(table(spark, folder, "documents"))
