@@ -34,7 +34,7 @@ SCALE = 1_000_000_000
 #: Positions of a chunk and sources of a block: together they bound what a task compares at once.
 CHUNK, BLOCK = 4096, 32
 #: Sources whose counts order the vocabulary, and entries that a task holds before it hands them on.
-LEADING, HELD = 12, 200_000
+LEADING, HELD = 12, 400_000
 
 # Bytes that are no letters become blanks, capitals become small letters.
 _LETTERS = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -46,42 +46,31 @@ def terms(text: str) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: Counter = Counter()
-    docs: Counter = Counter()
-    groups: set = set()
-
-    def hand_on() -> pa.RecordBatch:
-        rows = [(*k, v, docs[k]) for k, v in n.items()]
-        out = pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
-            pa.array([r[2].decode() for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64()),
-            pa.array([r[4] for r in rows], pa.int64())], schema=_COUNTS)
-        n.clear()
-        docs.clear()
-        return out
-
+    """Counts of each group seen by this task, handed on whenever it holds ``HELD`` terms, and at the end."""
+    counts: dict[tuple, tuple[Counter, Counter]] = {}
+    held = 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            lang, source = lang or "", source or ""
-            groups.add((lang, source))
-            for term, k in Counter(terms(text or "")).items():
-                n[lang, source, term] += k
-                docs[lang, source, term] += 1
-            if len(n) > HELD:
-                yield hand_on()
-            if len(groups) > HELD:
-                yield _marks(groups)
-    yield hand_on()
-    yield _marks(groups)
-
-
-def _marks(groups: set) -> pa.RecordBatch:
-    """Rows without term, which name the groups themselves."""
-    pairs = list(groups)
-    groups.clear()
-    return pa.RecordBatch.from_arrays([
-        pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.nulls(len(pairs), pa.string()),
-        pa.array([0] * len(pairs), pa.int64()), pa.array([0] * len(pairs), pa.int64())], schema=_COUNTS)
+            n, docs = counts.setdefault((lang or "", source or ""), (Counter(), Counter()))
+            words = terms(text or "")
+            before = len(n)
+            n.update(words)
+            docs.update(set(words))
+            held += len(n) - before + 1
+            if held > HELD:
+                yield from _rows(counts)
+                counts, held = {}, 0
+    yield from _rows(counts)
+
+
+def _rows(counts: dict[tuple, tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (n, docs) in counts.items():
+        # The last row, without term, names the group itself.
+        size = len(n) + 1
+        yield pa.RecordBatch.from_arrays([
+            pa.repeat(pa.scalar(lang, pa.string()), size), pa.repeat(pa.scalar(source, pa.string()), size),
+            pa.array([*n, None], pa.binary()).cast(pa.string()), pa.array([*n.values(), 0], pa.int64()),
+            pa.array([*map(docs.__getitem__, n), 0], pa.int64())], schema=_COUNTS)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
