@@ -145,14 +145,16 @@ def _attach(nodes: DataFrame, buckets: DataFrame, *also: str) -> DataFrame:
         "_g", "_b", "_lo", "_hi", "_levels", "_above")
 
 
-def _with_paths(bands: list[DataFrame], starts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _with_paths(bands: list[DataFrame], starts: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
     """The lowest band's buckets with ``path``, the siblings from the top of the bucket on. ``starts (grp, path)`` is what
-    follows above the tree of a group."""
+    follows above the tree of a group; without it nothing does."""
     above = None
     for band in range(len(bands) - 1, -1, -1):
         buckets = bands[band]
         size = 1 << BAND
-        out = buckets.filter(F.col("n") <= size).join(starts, "grp").select("grp", "bucket", "lo", "hi", "levels", "path")
+        top = buckets.filter(F.col("n") <= size)
+        top = top.join(starts, "grp") if starts is not None else top.withColumn("path", F.array().cast(f"array<{STEP}>"))
+        out = top.select("grp", "bucket", "lo", "hi", "levels", "path")
         if above is not None:
             lower = buckets.filter(F.col("n") > size).select("grp", F.col("bucket").alias("pos"), "lo", "hi", "levels")
             out = out.union(_attach(lower, above).select("grp", F.col("pos").alias("bucket"), "lo", "hi", "levels", "path"))
@@ -179,8 +181,7 @@ def build_manifest(docs: DataFrame, scratch: Scratch, key: str = "doc_id", group
     total = subroots.agg(F.max("n")).first()[0]
     upper, tops = _build(subroots.withColumnRenamed("subroot", "digest").drop("child"), _height(total), scratch, "upper")
     top = tops.select("digest").first()
-    none = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("grp"), F.array().cast(f"array<{STEP}>").alias("path"))
-    paths = _attach(subroots, _with_paths(upper, none, scratch, "upper-paths"))
+    paths = _attach(subroots, _with_paths(upper, None, scratch, "upper-paths"))
     names = leaves.select("grp", "name", "n_leaves").distinct()
     groups = scratch.store(paths.select(F.col("child").alias("grp"), "subroot", "path").join(names, "grp"), "groups")
     return Manifest(leaves, bands, groups, top[0] if top else None)
