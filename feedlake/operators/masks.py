@@ -1,8 +1,8 @@
 """Position masks: groups of links that sit at the same place of a page up to one, two or three indexes.
 
 ``links(page_id, pos, xpath, class_xpath, key, text, is_feed)``: the page's links, those of feed entries flagged. One star uses
-plain positions, two and three use positions with classes. Masks are generated per link and meet by equality, so no two
-links are ever compared.
+plain positions, two and three use positions with classes. Masks grow out of feed links; other links meet them by equality, so no
+two links are ever compared.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions.ordered import first_per_key, position_chunk, with_previous, with_running_sum
-from feedlake.functions.text import equalized_title
+from feedlake.functions.text import equalized_title, normalized_title
+from feedlake.session import checkpointed
 
 PATH_OF_STARS = {1: "xpath", 2: "class_xpath", 3: "class_xpath"}
 
@@ -23,60 +24,63 @@ def flag_feed_links(links: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.withColumn("is_feed", F.coalesce("_f", F.lit(False))).drop("_f")
 
 
-def _combinations(count: Column, stars: int) -> Column:
-    """Arrays of ``stars`` rising positions out of 1..count."""
+def _stepped(links: DataFrame, path: str) -> DataFrame:
+    """Links with the steps of their path, the same steps starred, and its shape: the path without indexes, which all links of
+    one mask share."""
+    steps = F.regexp_extract_all(path, F.lit("/[^/]+"), 0)
+    return links.withColumns({
+        "_segs": steps, "_stars": F.transform(steps, lambda s: F.regexp_replace(s, r"\[\d+\]$", "[*]")),
+        "_shape": F.regexp_replace(path, r"\[\d+\](?=/|$)", "")})
 
-    def above(low: Column) -> Column:
-        return F.when(low < count, F.sequence(low + 1, count)).otherwise(F.array().cast("array<int>"))
 
-    singles = F.transform(F.sequence(F.lit(1), count), lambda i: F.array(i))
-    for _ in range(stars - 1):
-        singles = F.flatten(F.transform(singles, lambda c: F.transform(above(F.element_at(c, -1)), lambda i: F.concat(c, F.array(i)))))
-    return singles
+def _mask(starred: Column) -> Column:
+    """The path with a star for the index of each starred step."""
+    return F.array_join(F.transform("_segs", lambda s, i: F.when(F.array_contains(starred, i + 1), F.get("_stars", i)).otherwise(s)), "")
 
 
-def link_masks(links: DataFrame, stars: int, path: str) -> DataFrame:
-    """All masks of every link: ``mask``, the mask without its topmost star, and the index under that star."""
-    split = links.withColumn("_segs", F.regexp_extract_all(path, F.lit("/[^/]+"), 0))
-    combos = split.withColumn("_at", F.explode(_combinations(F.size("_segs"), stars)))
+def _bearing(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """All links of the pages with each mask in ``seeds (page_id, _shape, _at, mask)`` that fits them.
 
-    def starred(positions: Column) -> Column:
-        return F.array_join(F.transform("_segs", lambda s, i: F.when(
-            F.array_contains(positions, i + 1), F.regexp_replace(s, r"\[\d+\]$", "[*]")).otherwise(s)), "")
-
-    top = F.element_at("_at", 1)
-    return combos.select(
-        *links.columns, starred(F.col("_at")).alias("mask"),
-        (starred(F.slice("_at", 2, stars - 1)) if stars > 1 else F.lit("")).alias("lower_mask"),
-        F.regexp_extract(F.element_at("_segs", top), r"\[(\d+)\]$", 1).alias("top_index"),
-        F.array_join(F.slice(F.regexp_extract_all("xpath", F.lit("/[^/]+"), 0), 1, F.element_at("_at", -1)), "").alias("item"))
-
-
-def _seeded(masks: DataFrame, lower: DataFrame | None) -> DataFrame:
-    """Masks that a feed link starts and that hold another link under the topmost star."""
-    seeds = masks.where("is_feed")
-    if lower is not None:
-        seeds = seeds.join(lower.select("page_id", F.col("mask").alias("lower_mask")), ["page_id", "lower_mask"], "left_semi")
-    seeds = seeds.select("page_id", "mask").distinct()
-    spread = masks.groupBy("page_id", "mask").agg(F.min("top_index").alias("_lo"), F.max("top_index").alias("_hi")).where("_lo <> _hi")
-    return spread.join(seeds, ["page_id", "mask"], "left_semi").select("page_id", "mask")
+    A link is masked only at the steps that a seed of its shape has starred, and meets the seeds by equality.
+    """
+    places = seeds.select("page_id", "_shape", "_at").distinct()
+    masked = links.join(places, ["page_id", "_shape"]).withColumn("mask", _mask(F.col("_at")))
+    return masked.join(seeds.select("page_id", "mask").distinct(), ["page_id", "mask"], "left_semi")
 
 
 def mask_groups(links: DataFrame, stars: int) -> DataFrame:
     """Members of all masks with ``stars`` stars: link columns, ``mask, stars, item`` (position of the lowest starred step).
 
-    A mask counts when it grows, star by star from the bottom, out of a feed link with another link under each star, and
-    holds more than one distinct link. Pages without feed links drop out first.
+    Masks grow level by level from feed links only: one star at a step whose index differs among the links of one shape, then
+    a further star above those of a mask that is still alive. A mask is alive if another link stands under its topmost star. So the
+    number of masks follows what lives and not the number of combinations, however deep a page is. Other links join what the feed
+    links have left. A mask counts if it holds more than one distinct link.
     """
-    useful = links.join(links.where("is_feed").select("page_id").distinct(), "page_id", "left_semi")
-    lower = None
+    useful = _stepped(links.join(links.where("is_feed").select("page_id").distinct(), "page_id", "left_semi"), PATH_OF_STARS[stars])
+    useful = checkpointed(useful)
+    indexes = useful.select("page_id", "_shape", F.posexplode("_segs").alias("_i", "_seg")).groupBy("page_id", "_shape", "_i").agg(
+        F.min("_seg").alias("_a"), F.max("_seg").alias("_b")).where("_a <> _b").select("page_id", "_shape", (F.col("_i") + 1).alias("_step"))
+    indexes = checkpointed(indexes)
+    fed = useful.where("is_feed").select("page_id", "_shape", "_segs", "_stars").distinct()
+    seeds = fed.join(indexes, ["page_id", "_shape"]).withColumn("_at", F.array("_step"))
+    alive = None
     for level in range(1, stars + 1):
-        rows = link_masks(useful, level, PATH_OF_STARS[stars])
-        lower = _seeded(rows, lower)
-    members = rows.join(lower, ["page_id", "mask"], "left_semi")
+        if level > 1:
+            grown = seeds.drop("_step").join(alive, ["page_id", "mask"], "left_semi").join(indexes, ["page_id", "_shape"])
+            seeds = grown.where(F.col("_step") < F.element_at("_at", 1)).withColumn("_at", F.concat(F.array("_step"), "_at"))
+        seeds = checkpointed(seeds.withColumn("mask", _mask(F.col("_at"))))
+        rows = _bearing(useful, seeds)
+        if level == stars:
+            rows = checkpointed(rows)
+        seg = F.get("_segs", F.element_at("_at", 1) - 1)
+        alive = rows.groupBy("page_id", "mask").agg(F.min(seg).alias("_a"), F.max(seg).alias("_b")).where("_a <> _b").select("page_id", "mask")
+        if level < stars:
+            alive = checkpointed(alive)
+    members = rows.join(alive, ["page_id", "mask"], "left_semi")
     distinct = members.groupBy("page_id", "mask").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).where("_a <> _b")
+    item = F.array_join(F.slice(F.regexp_extract_all("xpath", F.lit("/[^/]+"), 0), 1, F.element_at("_at", -1)), "")
     return members.join(distinct.select("page_id", "mask"), ["page_id", "mask"], "left_semi").select(
-        *links.columns, "mask", "item", F.lit(stars).alias("stars"))
+        *links.columns, "mask", item.alias("item"), F.lit(stars).alias("stars"))
 
 
 def all_mask_groups(links: DataFrame) -> DataFrame:
@@ -136,35 +140,81 @@ def title_tolerance(n_links: Column) -> Column:
     return F.when(n_links <= 8, 0).when(n_links <= 52, 2).otherwise(3)
 
 
-def infer_title_position(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Where the titles of a mask's items stand: ``self`` (the link's own text) or the ``rel`` position of a text node.
+def _element_texts(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Text of every element (and text node) inside the items of group links: link columns, ``rel``, ``seq`` (of its first text), ``depth``,
+    ``text`` (equalized).
 
-    A position is good when it carries the feed title for all feed links but a few. ``groups`` are one-star groups.
+    An element's text is that of all text nodes below it, in document order; blanks that stand alone between elements do
+    not count. Each text node offers itself to the elements that contain it, up to the item.
     """
-    fed = groups.where("is_feed and feed_title is not null")
-    sizes = fed.groupBy("page_id", "mask").agg(F.count_distinct("key").alias("_n"))
-    own = fed.groupBy("page_id", "mask").agg(F.count_if(
-        equalized_title(F.col("text")).eqNullSafe(equalized_title(F.col("feed_title")))).alias("_hits"), F.count("*").alias("_links"))
-    texts = item_nodes(fed, nodes.where("kind = 'text'"), "value", [])
-    hits = texts.where(equalized_title(F.trim("value")) == equalized_title(F.col("feed_title"))).groupBy("page_id", "mask", "rel").agg(
-        F.count_distinct("pos").alias("_hits"))
-    totals = own.select("page_id", "mask", "_links")
-    candidates = own.select("page_id", "mask", F.lit(None).cast("string").alias("rel"), F.lit(0).alias("_rank"), "_hits").unionByName(
-        hits.select("page_id", "mask", "rel", F.lit(1).alias("_rank"), "_hits"))
-    judged = candidates.join(totals, ["page_id", "mask"]).join(sizes, ["page_id", "mask"])
-    good = judged.where(F.col("_links") - F.col("_hits") <= title_tolerance(F.col("_n")))
-    chosen = first_per_key(good, ["page_id", "mask"], ["_rank", F.col("_hits").desc(), "rel"])
-    return chosen.select("page_id", "mask", F.when(F.col("_rank") == 0, "self").otherwise("node").alias("kind"), "rel")
+    texts = item_nodes(groups, nodes.where("kind = 'text'"), "value", []).where("rel <> ''")
+    steps = texts.withColumn("_steps", F.regexp_extract_all("rel", F.lit("/[^/]+"), 0)).withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("_steps"))))
+    offered = steps.withColumn("rel", F.array_join(F.slice("_steps", 1, F.col("depth")), ""))
+    # The text nodes of one element of one post.
+    parts = F.array_sort(F.collect_list(F.struct("node_seq", "value")))
+    return offered.groupBy("page_id", "mask", "pos", "rel", "depth").agg(
+        F.min("node_seq").alias("seq"), F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("value")).withColumn(
+        "text", equalized_title(normalized_title(F.col("value"))))
+
+
+def infer_title_position(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Where the titles of a mask's items stand: ``(page_id, mask, kind, rel, rank)``.
+
+    ``self`` is the link's own text, ``child`` an element inside the link, ``neighbor`` another element of the item; ``rel`` is its position
+    below the item. The link's own text counts if it is the feed title for all feed links but a few. Else the feed title must be
+    part of all links' texts but a few; of each link the outermost first element with the feed title is tried as
+    child, and the first one (in the order of links) that carries it for all links but a few counts. Else the outermost first elements
+    of the item that are not the link itself are tried as neighbours: those that carry the feed title wherever they exist are all good, and ``rank`` tells their order.
+    ``groups`` are one-star groups. A mask without any position is absent.
+    """
+    keys = ["page_id", "mask"]
+    title = equalized_title(normalized_title(F.col("feed_title")))
+    own = equalized_title(normalized_title(F.coalesce("text", F.lit(""))))
+    fed = groups.where("is_feed").withColumns({
+        "_title": title, "_own": own, "_link": F.expr("substring(xpath, length(item) + 1)")}).select(*keys, "pos", "key", "item", "_title", "_own", "_link")
+    fed = checkpointed(fed)
+    wrong = ~F.coalesce(F.col("_own") == F.col("_title"), F.lit(False))
+    without = ~F.coalesce(F.col("_own").contains(F.col("_title")), F.lit(False))
+    sizes = fed.groupBy(*keys).agg(
+        F.count("*").alias("_links"), F.count_distinct("key").alias("_n"), F.count_distinct(F.when(wrong, F.col("key"))).alias("_wrong"),
+        F.count_distinct(F.when(without, F.col("key"))).alias("_without"))
+    sizes = checkpointed(sizes.withColumn("_allowed", title_tolerance(F.col("_n"))))
+    itself = sizes.where("_wrong <= _allowed").select(*keys, F.lit("self").alias("kind"), F.lit(None).cast("string").alias("rel"), F.lit(0).alias("rank"))
+    rest = fed.join(sizes.where("_wrong > _allowed").select(*keys, "_links", "_allowed", (F.col("_without") <= F.col("_allowed")).alias("_inside")), keys)
+    texts = _element_texts(rest, nodes).join(rest.select(*keys, "pos", "_title", "_link", "_links", "_allowed", "_inside"), [*keys, "pos"])
+    hit = F.coalesce(F.col("text") == F.col("_title"), F.lit(False))
+    within = (F.col("_link") == "") | F.startswith(F.col("rel"), F.concat("_link", F.lit("/")))
+    beside = F.col("rel") != F.col("_link")
+    kinds = F.filter(F.array(F.when(within & F.col("_inside"), "child"), F.when(beside, "neighbor")), lambda k: k.isNotNull())
+    told = checkpointed(texts.withColumns({"_hit": hit, "kind": F.explode(kinds)}))
+    # The outermost first element of each link, then the judgement of its position over all links.
+    tried = first_per_key(told.where("_hit"), [*keys, "kind", "pos"], ["seq", "depth"]).groupBy(*keys, "kind", "rel").agg(F.min("pos").alias("_first"))
+    judged = told.join(tried, [*keys, "kind", "rel"]).groupBy(*keys, "kind", "rel", "_first", "_links", "_allowed").agg(
+        F.count("*").alias("_there"), F.count_if("_hit").alias("_hits"))
+    child = (F.col("kind") == "child") & (F.col("_links") - F.col("_hits") <= F.col("_allowed"))
+    good = judged.where(child | ((F.col("kind") == "neighbor") & (F.col("_hits") == F.col("_there"))))
+    order = Window.partitionBy(*keys).orderBy("kind", "_first", "rel")
+    ranked = good.withColumns({"rank": F.row_number().over(order) - 1, "_lead": F.first("kind").over(order)})
+    chosen = ranked.where((F.col("kind") == F.col("_lead")) & ((F.col("kind") == "neighbor") | (F.col("rank") == 0)))
+    return itself.unionByName(chosen.select(*keys, "kind", "rel", "rank"))
 
 
 def apply_title_position(groups: DataFrame, positions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Title of each group link from the mask's title position."""
-    placed = groups.join(positions, ["page_id", "mask"], "left")
-    texts = item_nodes(placed.where("kind = 'node'").withColumnRenamed("rel", "_rel"), nodes.where("kind = 'text'").drop("kind"), "value", [])
-    found = texts.where("rel = _rel").groupBy("page_id", "mask", "pos").agg(F.min_by("value", "node_seq").alias("_node_title"))
-    joined = placed.join(found, ["page_id", "mask", "pos"], "left")
-    return joined.withColumn("title", F.when(F.col("kind") == "self", F.trim("text")).otherwise(F.trim("_node_title"))).drop(
-        "_node_title", "kind", "rel")
+    """Title of each group link from its mask's title positions: the first that exists; ``alternatives`` are the texts of the others.
+
+    ``title_kind`` tells where the title comes from. Links of masks without a position have neither.
+    """
+    keys = ["page_id", "mask"]
+    own = groups.join(positions.where("kind = 'self'").select(*keys, F.lit("self").alias("_kind")), keys)
+    itself = own.select(*keys, "pos", normalized_title(F.col("text")).alias("title"), F.array().cast("array<string>").alias("alternatives"), "_kind")
+    placed = positions.where("kind <> 'self'").select(*keys, "rel", "kind", "rank")
+    inside = groups.join(placed.select(*keys).distinct(), keys, "left_semi")
+    found = _element_texts(inside, nodes).join(placed, [*keys, "rel"]).withColumn("title", normalized_title(F.col("value")))
+    # A mask has few title positions.
+    listed = found.where("title is not null").groupBy(*keys, "pos").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "title"))).alias("_all")).select(
+        *keys, "pos", F.get("_all", 0)["title"].alias("title"), F.transform(F.slice("_all", 2, 1000), lambda x: x["title"]).alias("alternatives"),
+        F.get("_all", 0)["kind"].alias("_kind"))
+    return groups.join(itself.unionByName(listed), [*keys, "pos"], "left").withColumnRenamed("_kind", "title_kind")
 
 
 def infer_date_position(groups: DataFrame, dates: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ def _(t):
     return G.detect_long_feed(on_page, feed, best)
 
 
-@query("g09_archive_candidates", f"WITH {SORTED_SQL} SELECT page_id, CASE WHEN page_id % 3 <> 0 OR n <= 5 THEN 'archives' ELSE 'shuffled' END AS pattern, n AS n_links FROM full_list WHERE page_id % 3 <> 0 OR n <= 5 OR n > 5")
+@query("g09_archive_candidates", f"WITH {SORTED_SQL} SELECT page_id, CASE WHEN page_id % 3 <> 0 OR n <= 5 THEN 'archives' ELSE 'shuffled' END AS pattern, n AS n_links FROM full_list")
 def _(t):
     groups, feed, _links = dated_groups(t)
     found = G.archive_candidates(G.detect_sorted(groups, feed), G.detect_shuffled(groups, feed))
