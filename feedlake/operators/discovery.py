@@ -146,9 +146,9 @@ def validate_feeds(docs: DataFrame) -> DataFrame:
 def start_page_for_feed(feeds: DataFrame, pages: DataFrame) -> DataFrame:
     """Start page of feeds ``(feed_id, feed_url, root_url)``: the root link if stored, else the nearest parent that is.
 
-    ``pages(url)`` are the usable stored pages.
+    ``pages(url)`` are the usable stored pages; where one is stored with and without a slash at its end, that without counts.
     """
-    stored = pages.select(F.regexp_replace("url", "/$", "").alias("_key"), "url").dropDuplicates(["_key"])
+    stored = pages.groupBy(F.regexp_replace("url", "/$", "").alias("_key")).agg(F.min("url").alias("url"))
     root = feeds.where("root_url is not null").select("feed_id", F.lit(-1).alias("depth"), F.col("root_url").alias("_url"))
     parents = url_prefixes(feeds.select("feed_id", F.regexp_replace("feed_url", r"[?#].*$", "").alias("_feed")), "_feed").where("depth > 0").select(
         "feed_id", "depth", F.col("prefix_url").alias("_url"))

@@ -74,9 +74,9 @@ def resolve_redirects(edges: DataFrame) -> DataFrame:
     """Follow ``edges(source, target)`` to the end: ``(source, target, status)``, status ``resolved`` or ``cycle``.
 
     Pointer doubling: after n rounds a pointer spans 2^n edges, so chains of any length need log2(length) joins. A
-    self-loop ends a chain. A pointer still inside the edge set after more steps than there are edges is on a cycle.
+    self-loop ends a chain; of several targets of a source the least counts. A pointer still inside the edge set after more steps than there are edges is on a cycle.
     """
-    live = edges.where("source <> target").select("source", "target").dropDuplicates(["source"])
+    live = edges.where("source <> target").groupBy("source").agg(F.min("target").alias("target"))
     pointers = checkpointed(live)
     total = pointers.count()
     span = 1

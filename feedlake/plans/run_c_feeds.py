@@ -266,8 +266,10 @@ def _(t):
 
 
 @query("c14_missing_from_feed", f"""WITH {ENTRIES_SQL}, held AS MATERIALIZED (SELECT feed_id, pos, key FROM entries), posts AS MATERIALIZED (SELECT feed_id, pos + 1 AS pos, key FROM held UNION ALL SELECT feed_id, 1000 + pos, key + 100 FROM held UNION ALL SELECT feed_id, 0, -1 FROM held WHERE pos = 0),
-    ends AS (SELECT feed_id, max_by(key, pos) AS key FROM held GROUP BY 1), starts AS (SELECT p.feed_id, min(pos) AS start FROM posts p JOIN ends USING (feed_id, key) GROUP BY 1)
-    SELECT p.feed_id, p.pos, p.key FROM posts p JOIN starts s ON s.feed_id = p.feed_id AND p.pos >= s.start ANTI JOIN held e ON e.feed_id = p.feed_id AND e.key = p.key""")
+    ends AS (SELECT feed_id, max_by(key, pos) AS last FROM held GROUP BY 1),
+    marked AS (SELECT p.feed_id, p.pos, p.key, min(CASE WHEN p.key = e.last THEN p.pos END) OVER (PARTITION BY p.feed_id) AS start FROM posts p JOIN ends e USING (feed_id)),
+    known AS (SELECT feed_id, key, bool_or(h) AS h FROM (SELECT feed_id, key, true AS h FROM held UNION ALL SELECT feed_id, key, false FROM posts) GROUP BY ALL)
+    SELECT m.feed_id, m.pos, m.key FROM marked m JOIN known k USING (feed_id, key) WHERE m.pos >= m.start AND NOT k.h""")
 def _(t):
     e = entries(t)
     posts = e.select("feed_id", (c("pos") + 1).alias("pos"), "key").unionByName(
