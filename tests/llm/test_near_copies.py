@@ -44,3 +44,40 @@ def test_kept_rows_equal_brute_force(spark):
         got = sorted(r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(rows, corpus.SCHEMA)).collect())
         assert got == brute_kept(rows)
         assert len(got) < len(rows)
+
+
+def group_of(n, seed=7):
+    """One text of 300 words in ``n`` versions, each with two words replaced: near most others."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(900)}" for _ in range(300)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(2):
+            words[rnd.randrange(len(words))] = f"e{i}x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    return rows
+
+
+def test_links_of_a_large_group_stay_linear(spark, monkeypatch):
+    from feedlake.llm import near_copies
+    from feedlake.llm.common import Scratch
+    sizes = []
+    inner = near_copies.connected_components
+
+    def counted(links, scratch, name):
+        sizes.append(links.count())
+        return inner(links, scratch, name)
+
+    monkeypatch.setattr(near_copies, "connected_components", counted)
+    df = spark.createDataFrame(group_of(2000), corpus.SCHEMA).repartition(8)
+    groups = near_copies.near_groups(df, Scratch(spark, "test")).collect()
+    assert len(groups) == 2000 and len({r.label for r in groups}) == 1
+    assert max(sizes) < 20_000
+
+
+def test_null_repeated_and_no_rows(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, None, None, None, None), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3), (None, "A b", "en", "s", 3)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, corpus.SCHEMA)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
+    assert simhash.keep_one_of_each(spark.createDataFrame([], corpus.SCHEMA)).collect() == []
