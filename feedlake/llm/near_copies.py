@@ -10,7 +10,7 @@ ones are marked changes the work but not the result. Each candidate is verified
 
 Only distinct sets are compared, so copies cost nothing. Only components are wanted: in each round every shingle links its
 sets to one of them, the components of the links so far are contracted, and shingles within one component are done. When
-few pairs are left, or after ``ROUNDS`` rounds, all pairs that are not yet in one component are verified.
+few pairs are left, when a round has not halved them, or after ``ROUNDS`` rounds, all pairs that are not yet in one component are verified.
 
 Fewer than five words are one shingle; null texts count as empty, and texts without words are equal to each other. Repeated rows
 are copies. An empty table has no groups.
@@ -150,7 +150,7 @@ def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     several = sets.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").select("s")
     rows = scratch.store(sets.join(several, "s").select("s", "key", "size", "at", F.col("key").alias("label")), "rows-0")
     scratch.drop("prefixes", "counts")
-    links = None
+    links, before = None, float("inf")
     for turn in range(ROUNDS):
         more = _verified(_stars(rows, turn), docs, scratch, f"star-{turn}")
         links = more if links is None else links.union(more)
@@ -165,8 +165,10 @@ def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         rows = scratch.store(named.join(parts.select("s"), "s"), f"rows-{turn + 1}")
         scratch.drop(f"rows-{turn}", f"named-{turn}")
         left = parts.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2).alias("pairs")).first()
-        if (left.pairs or 0) <= 2 * (left.rows or 0):
+        # Few pairs are left, or most of them are of sets that are not similar: further leads would not help.
+        if (left.pairs or 0) <= 2 * (left.rows or 0) or left.pairs > before / 2:
             break
+        before = left.pairs
     rest = _candidates(rows, rows, [F.col("x.s") == F.col("y.s")])
     links = links.union(_verified(rest.distinct(), docs, scratch, "rest"))
     return scratch.store(connected_components(links, scratch, "all").withColumnRenamed("node", "key"), "near")
