@@ -8,6 +8,7 @@ from feedlake.functions.urls import with_canonical
 from feedlake.operators import discovery as D
 from feedlake.operators import pages as P
 from feedlake.plans.registry import query
+from feedlake.session import spread
 from feedlake.sources.adapters import ORDER_URLS_SQL, order_urls
 
 c = F.col
@@ -36,7 +37,9 @@ def site_pages(t):
     html = F.concat(
         F.lit("<html><head><title>Site "), text(k), F.lit("</title>"), F.lit(comments), F.when(k % 4 > 0, rss).otherwise(""), F.when(k % 4 > 1, atom).otherwise(""),
         F.lit("</head><body>"), F.when(k % 4 == 3, second).otherwise(""), F.lit('<a href="/about">About</a></body></html>'))
-    return t.customer.select(k.alias("page_id"), F.concat(F.lit("https://c"), text(k), F.lit(".example.com/start")).alias("url"), html.alias("html"))
+    # The keys are dealt out, not the pages.
+    return spread(t.customer.select("c_custkey")).select(
+        k.alias("page_id"), F.concat(F.lit("https://c"), text(k), F.lit(".example.com/start")).alias("url"), html.alias("html"))
 
 
 SITES_SQL = """sites AS (SELECT c_custkey AS page_id, 'https://c' || c_custkey || '.example.com' AS root, c_custkey % 4 AS pick FROM customer),
