@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.common import Scratch, text_function, unused, with_text
 from feedlake.llm.components import connected_components
-from feedlake.llm.near_copies import near_groups, set_key
+from feedlake.llm.near_copies import near_groups, text_id, text_sets
 
 SEED = 42
 THRESHOLD = 3
@@ -122,26 +122,41 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return rows.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def simhash_pairs(ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``(a, b)`` of the sets in ``ids (key, fp)`` whose fingerprints are in one component: each with the least set of its
+    component, so that there are no more pairs than sets."""
+    links = scratch.store(near_links(ids.select("fp").distinct()), "fp-links")
+    labels = connected_components(links, scratch, "fp-labels")
+    named = ids.select("fp", "key").distinct().join(labels, F.col("fp") == labels.node, "left").select(
+        F.coalesce("label", "fp").alias("label"), "key").distinct()
+    named = scratch.store(named, "fp-named")
+    leads = scratch.store(named.groupBy("label").agg(F.min("key").alias("a")), "fp-leads")
+    return named.join(leads, "label").filter("a <> key").select("a", F.col("key").alias("b")).distinct()
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component of near copies (``near_copies``: 80 % of five-word shingles), with all columns: the one
-    with the smallest id.
+    """One row of each component of near copies, with all columns: the one with the smallest id.
 
-    Rows with the same id (or all ids null) are told apart by a hash of the text, then arbitrarily but once: the choice
-    is stored before it is applied.
+    Fingerprints propose what may be near: each set of shingles is held against the least one of its component of
+    fingerprints (``simhash_pairs``). An exact check follows (``near_copies``: 80 % of five-word shingles), which also finds the
+    pairs that differ in more bits. Rows with the same id (or all ids null) are told apart by a hash of the text, then
+    arbitrarily but once: the choice is stored before it is applied.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    near = near_groups(docs, scratch)
-    derived, name = with_text(docs, set_key)
-    key, label, cid, rank = (unused(docs, x) for x in ("_key", "_label", "_component", "_rank"))
-    keyed = derived.withColumn(key, F.col(f"{name}.key")).drop(name)
-    # The smallest id of each set, then of its component; texts stay out of both joins.
-    values = scratch.store(keyed.groupBy(key).agg(F.min("doc_id").alias("first_id")), "values")
+    ids = text_sets(docs, scratch, fp=simhash)
+    near = near_groups(docs, scratch, ids, simhash_pairs(ids, scratch))
+    text, key, label, cid, rank = (unused(docs, x) for x in ("_text", "_key", "_label", "_component", "_rank"))
+    known = docs.withColumn(text, text_id())
+    names = ids.select(F.col("id").alias(text), F.col("key").alias(key))
+    # The smallest id of each text, then of its set, then of its component; texts stay out of these joins.
+    firsts = known.groupBy(text).agg(F.min("doc_id").alias("first_id"))
+    values = scratch.store(names.join(firsts, text).groupBy(key).agg(F.min("first_id").alias("first_id")), "values")
     named = values.join(near.select(F.col("key").alias(key), F.col("label").alias("near")), key, "left").select(
         key, F.coalesce("near", key).alias(label), "first_id")
     named = scratch.store(named, "named")
     smallest = scratch.store(named.groupBy(label).agg(F.min("first_id").alias(cid)), "smallest")
-    groups = scratch.store(named.join(smallest, label).select(key, label, cid), "groups")
+    groups = scratch.store(names.join(named, key).join(smallest, label).select(text, label, cid), "groups")
     # Rank limits prune each partition before the shuffle; the winner has the component's id, null if all are.
-    candidates = keyed.join(groups, key).filter(F.col("doc_id").eqNullSafe(F.col(cid)))
+    candidates = known.join(groups, text).filter(F.col("doc_id").eqNullSafe(F.col(cid)))
     order = Window.partitionBy(label).orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return candidates.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(key, label, cid, rank)
+    return candidates.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(text, label, cid, rank)

@@ -81,3 +81,28 @@ def test_null_repeated_and_no_rows(spark):
     kept = simhash.keep_one_of_each(spark.createDataFrame(rows, corpus.SCHEMA)).collect()
     assert sorted(r.doc_id for r in kept) == [1, 3]
     assert simhash.keep_one_of_each(spark.createDataFrame([], corpus.SCHEMA)).collect() == []
+
+
+def test_fingerprints_propose_pairs_of_sets(spark, monkeypatch):
+    from feedlake.llm import near_copies
+    proposed = {}
+    inner, verified = simhash.near_links, near_copies._verified
+
+    def linked(fps):
+        proposed["fingerprints"] = fps.count()
+        return inner(fps)
+
+    def counted(pairs, docs, ids, scratch, name):
+        out = verified(pairs, docs, ids, scratch, name)
+        proposed[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "near_links", linked)
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    rows = group_of(60) + edited(3)
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    got = sorted(r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(rows, corpus.SCHEMA)).collect())
+    assert got == brute_kept(rows)
+    # Found by fingerprints and confirmed; the prefixes find the others.
+    assert proposed["fingerprints"] > 60 and 0 < proposed["proposed"] < len(rows)
+    assert proposed["star-0"] > 0
