@@ -33,4 +33,5 @@ def test_stages_on_real_rows(spark):
 @pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if n != "pipeline"))
 def test_registered_query(spark, name):
     rows = catalog.QUERIES[name](spark, FOLDER).count()
-    assert rows == 200 if name != "op8_decontaminate" else rows > 0
+    # The contract gives op8 a row for each hit and op12 rows for each group; all others return one row for each document.
+    assert rows == 200 if name not in ("op8_decontaminate", "op12_source_divergence") else rows > 0
