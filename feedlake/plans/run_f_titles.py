@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedlake.operators import masks as M
 from feedlake.operators import pages as P
 from feedlake.plans.registry import query
-from feedlake.plans.run_fg_archives import text
+from feedlake.plans.run_fg_archives import PLACED, text
 from feedlake.plans.run_g_lists import POSTS_SQL, blog_posts, feed_of, host_of, path_of
 from feedlake.plans.run_l_events import c
 from feedlake.session import checkpointed
@@ -18,10 +18,10 @@ def page(b, url_path, body):
     return b.alias("page_id"), F.concat(F.lit("https://"), host_of(b), F.lit(url_path)).alias("url"), html.alias("html")
 
 
-def mined(posts, rendered):
+def mined(posts, rendered, *more):
     feed = checkpointed(feed_of(posts).withColumnRenamed("b", "page_id"))
     nodes = checkpointed(P.nodes(rendered))
-    return nodes, checkpointed(M.flag_feed_links(P.links_of_nodes(nodes), feed))
+    return nodes, checkpointed(M.flag_feed_links(P.links_of_nodes(nodes).select(*PLACED, *more), feed))
 
 
 # Titles by blog number modulo 8: the link's text (4, and 0 with two others), an element of the link (5, and 1 where the first two links
@@ -53,7 +53,7 @@ position AS (
 @query("f03_title_positions", f"WITH {TITLES_SQL} SELECT b AS page_id, kind, rel, rank::INT AS rank FROM position")
 def _(t):
     posts = blog_posts(t)
-    nodes, links = mined(posts, titled_pages(posts))
+    nodes, links = mined(posts, titled_pages(posts), "text")
     return M.infer_title_position(checkpointed(M.mask_groups(links, 1)), nodes).select("page_id", "kind", "rel", "rank")
 
 
@@ -64,7 +64,7 @@ def _(t):
     FROM blog JOIN size USING (b)""")
 def _(t):
     posts = blog_posts(t)
-    nodes, links = mined(posts, titled_pages(posts))
+    nodes, links = mined(posts, titled_pages(posts), "text", "link_url")
     groups = checkpointed(M.mask_groups(links, 1))
     titled = M.apply_title_position(groups, checkpointed(M.infer_title_position(groups, nodes)), nodes)
     number = F.regexp_extract("link_url", r"-(\d+)$", 1).cast("long").alias("i")

@@ -15,7 +15,7 @@ from feedlake.operators import masks as M
 from feedlake.operators import pages as P
 from feedlake.operators.archives import STAGES, archive_candidates, detect_almost_feed, detect_shuffled
 from feedlake.plans.registry import query
-from feedlake.plans.run_fg_archives import text
+from feedlake.plans.run_fg_archives import PLACED, text
 from feedlake.plans.run_l_events import c
 from feedlake.session import checkpointed
 
@@ -38,6 +38,10 @@ def path_of(b, i):
     return F.when(b % 16 == 6, F.concat(F.lit("/"), F.date_format(day_of(i), "yyyy/MM/dd"), plain)).otherwise(plain)
 
 
+def url_day():
+    return U.path_date(c("parts.path")).alias("url_date")
+
+
 def host_of(b):
     return F.concat(F.lit("b"), text(b), F.lit(".example.com"))
 
@@ -79,9 +83,9 @@ def categories(t):
     level = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
     pages = rendered.select("page_id", c("b").alias("blog_id"), level.alias("level"), ((c("kind") * 5 + c("b")) % 6).cast("long").alias("arrival"))
     by_page = feed.join(pages.select("page_id", c("blog_id").alias("b")), "b").drop("b")
-    links = checkpointed(M.flag_feed_links(P.links_of_nodes(P.nodes(rendered.select("page_id", "url", "html"))), by_page))
+    links = checkpointed(M.flag_feed_links(P.links_of_nodes(P.nodes(rendered.select("page_id", "url", "html"))).select(*PLACED, url_day()), by_page))
     groups = checkpointed(M.mask_groups(links, 1).select(
-        "page_id", "mask", "stars", "pos", "key", U.path_date(c("parts.path")).alias("url_date"), F.lit(None).cast("date").alias("date")))
+        "page_id", "mask", "stars", "pos", "key", "url_date", F.lit(None).cast("date").alias("date")))
     return A.category_archives(groups, feed.select(c("b").alias("blog_id"), "pos", "key"), pages)
 
 
@@ -171,12 +175,12 @@ def mined_archives(t):
     posts = blog_posts(t)
     feed = checkpointed(feed_of(posts).withColumnRenamed("b", "page_id"))
     nodes = checkpointed(P.nodes(archive_pages(posts)))
-    links = checkpointed(M.flag_feed_links(P.links_of_nodes(nodes), feed))
+    links = checkpointed(M.flag_feed_links(P.links_of_nodes(nodes).select(*PLACED, url_day()), feed))
     groups = checkpointed(M.mask_groups(links, 1).unionByName(M.mask_groups(links, 2)))
     dates = checkpointed(P.dated_nodes(nodes))
     positions = checkpointed(M.infer_date_position(groups, dates))
     dated = A.with_list_dates(M.assign_markup_dates(groups, positions, dates), positions, feed)
-    return checkpointed(dated.select("page_id", "mask", "stars", "pos", "key", U.path_date(c("parts.path")).alias("url_date"), "date")), feed
+    return checkpointed(dated.select("page_id", "mask", "stars", "pos", "key", "url_date", "date")), feed
 
 
 # The groups that mining finds, written down from the layouts: members by place, with the day where the list is dated.

@@ -14,7 +14,7 @@ from feedlake.operators import masks as M
 from feedlake.operators import pages as P
 from feedlake.operators import paged_lists as L
 from feedlake.plans.registry import query
-from feedlake.plans.run_fg_archives import text
+from feedlake.plans.run_fg_archives import PLACED, text
 from feedlake.plans.run_g_lists import POSTS_SQL, blog_posts, feed_of, host_of, path_of, post_number
 from feedlake.plans.run_l_events import c
 from feedlake.session import checkpointed
@@ -65,7 +65,7 @@ def paged(t):
     jump = G.next_page_links(links.where(number == 1), templates.where("number = 1").drop("number").join(ends, "b").select(
         "page_id", "host", "path_template", "query_template", "number"))
     jumps = jump.where("status <> 'none'").select(blog.alias("blog_id")).join(ends.withColumnRenamed("b", "blog_id"), "blog_id")
-    groups = checkpointed(M.mask_groups(M.flag_feed_links(found.where(number == 1), first), 1))
+    groups = checkpointed(M.mask_groups(M.flag_feed_links(found.where(number == 1).select(*PLACED), first), 1))
     target = page2.select("page_id", F.concat(host_of(blog), F.lit("//page/2?")).alias("key"))
     opened = checkpointed(G.detect_page1(groups, first.drop("title"), target))
     members = groups.join(opened.select("page_id", "stars", "mask", "page_size", "includes_newest"), ["page_id", "stars", "mask"])
