@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.ordered import first_per_key, position_chunk, with_row_number
 from feedlake.operators.archives import almost_threshold, category_threshold
-from feedlake.session import checkpointed
+from feedlake.session import checkpointed, checkpointed_pages
 
 GROUP = ["page_id", "stars", "mask"]
 #: Forms of a list: as on the page, from the bottom up, by dates.
@@ -132,14 +132,14 @@ def sorted_lists(groups: DataFrame, entries: DataFrame, almost: bool = False) ->
     """
     n_held, n_feed = F.col("n_held"), F.col("n_feed")
     enough = (n_held < n_feed) & (n_held >= almost_threshold(n_feed)) if almost else n_held == n_feed
-    shapes = checkpointed(list_shapes(groups, entries).where((F.col("n_links") >= n_feed) & enough))
-    lists = checkpointed(numbered(groups.join(shapes.select(*GROUP), GROUP, "left_semi")))
+    shapes = checkpointed_pages(list_shapes(groups, entries).where((F.col("n_links") >= n_feed) & enough))
+    lists = checkpointed_pages(numbered(groups.join(shapes.select(*GROUP), GROUP, "left_semi")))
     sized = lists.join(shapes.select(*GROUP, "n_links", "has_dates"), GROUP)
     columns = [*GROUP, "seq_pos", "key"]
     down = sized.select(*columns, F.lit(DOWN).alias("form"))
     up = sized.select(*GROUP, (F.col("n_links") - 1 - F.col("seq_pos")).alias("seq_pos"), "key", F.lit(UP).alias("form"))
     dated = _by_dates(sized.where("has_dates")).select(*columns, F.lit(DATED).alias("form"))
-    forms = checkpointed(down.unionByName(up).unionByName(dated))
+    forms = checkpointed_pages(down.unionByName(up).unionByName(dated))
     by = [*GROUP, "form"]
     off = _follows_held(forms, entries, by) if almost else follows_feed(forms, entries, by)
     lengths = forms.groupBy(*by).agg(F.count("*").alias("n_links"))
@@ -150,7 +150,7 @@ def sorted_lists(groups: DataFrame, entries: DataFrame, almost: bool = False) ->
     form = F.col("form")
     fits = (form == DATED) | (single & F.when(form == DOWN, F.coalesce("falls", F.lit(True))).otherwise(F.coalesce("rises", F.lit(True))))
     rank = F.when(form == DOWN, 0).when(form == UP, 1).otherwise(2)
-    fit = checkpointed(judged.where(fits).withColumn("rank", rank).select(*by, "n_links", "has_dates", "first_pos", "rank"))
+    fit = checkpointed_pages(judged.where(fits).withColumn("rank", rank).select(*by, "n_links", "has_dates", "first_pos", "rank"))
     results, base = [], None
     for stars in (1, 2, 3):
         own = fit.where(F.col("stars") == stars)
@@ -163,7 +163,7 @@ def sorted_lists(groups: DataFrame, entries: DataFrame, almost: bool = False) ->
             own = joined.where((F.col("form") == DATED) | F.col("_least").isNull() | F.col("starts") | ((F.col("form") == UP) & F.col("ends"))).drop(
                 "_least", "starts", "ends")
         # A group counts in its first form only.
-        best = checkpointed(_longest(first_per_key(own, GROUP, ["rank"])))
+        best = checkpointed_pages(_longest(first_per_key(own, GROUP, ["rank"])))
         results.append(best)
         if base is not None:
             best = best.unionByName(found.join(best.select("page_id"), "page_id", "left_anti"))
@@ -231,8 +231,8 @@ def two_mask_lists(groups: DataFrame, entries: DataFrame) -> tuple[DataFrame, Da
         "page_id", F.col("mask").alias("prefix_mask"), F.col("n_links").alias("skipped"), "last_pos")
     feeds = entries.groupBy("page_id").agg(F.count("*").alias("_n_feed"))
     rest = _continuing_groups(groups, entries).withColumnRenamed("n_links", "_rest").join(feeds, "page_id").where("skipped + _rest >= _n_feed")
-    pairs = checkpointed(rest.join(openings, ["page_id", "skipped"]).where("last_pos < first_pos").withColumn("n_links", F.col("skipped") + F.col("_rest")))
-    lists = checkpointed(_glued(pairs, groups))
+    pairs = checkpointed_pages(rest.join(openings, ["page_id", "skipped"]).where("last_pos < first_pos").withColumn("n_links", F.col("skipped") + F.col("_rest")))
+    lists = checkpointed_pages(_glued(pairs, groups))
     single = lists.groupBy(*GROUP).agg(F.count("*").alias("_k"), F.count_distinct("key").alias("_d")).where("_k = _d").select(*GROUP)
     fit = pairs.join(single, GROUP, "left_semi").select(
         *GROUP, "n_links", "prefix_mask", F.col("skipped").alias("n_prefix"), "first_pos", F.lit(0).alias("rank"), F.lit(DOWN).alias("form"))
@@ -244,7 +244,7 @@ def two_mask_lists(groups: DataFrame, entries: DataFrame) -> tuple[DataFrame, Da
             longer = own.join(found.select("page_id", F.col("n_links").alias("_least")), "page_id", "left").where("_least is null or n_links > _least")
             met = _extends(lists.join(own.select(*GROUP, "form", "n_links"), GROUP), links)
             own = longer.join(met, [*GROUP, "form"], "left").where("_least is null or starts").drop("_least", "starts", "ends")
-        best = checkpointed(_longest(own))
+        best = checkpointed_pages(_longest(own))
         results.append(best)
         if base is not None:
             best = best.unionByName(found.join(best.select("page_id"), "page_id", "left_anti"))
@@ -263,7 +263,7 @@ def shuffled_two_mask_lists(groups: DataFrame, entries: DataFrame) -> tuple[Data
     """
     opening = first_per_key(_opening_groups(groups, entries), ["page_id"], [F.col("n_links").desc(), "first_pos", "mask"]).select(
         "page_id", F.col("mask").alias("prefix_mask"), F.col("n_links").alias("n_prefix"))
-    opening = checkpointed(opening)
+    opening = checkpointed_pages(opening)
     covered = groups.where("stars = 1").join(opening.select("page_id", F.col("prefix_mask").alias("mask")), ["page_id", "mask"], "left_semi")
     open_entries = entries.join(covered.select("page_id", "key").distinct(), ["page_id", "key"], "left_anti").join(opening.select("page_id"), "page_id", "left_semi")
     open_sizes = opening.select("page_id").join(open_entries.groupBy("page_id").agg(F.count("*").alias("_open")), "page_id", "left").fillna(0, ["_open"])
@@ -271,8 +271,8 @@ def shuffled_two_mask_lists(groups: DataFrame, entries: DataFrame) -> tuple[Data
     shapes = list_shapes(groups, entries).where("n_links >= n_feed").select(*GROUP, F.col("n_links").alias("_rest"), "first_pos")
     full = shapes.join(open_sizes, "page_id").join(held, GROUP, "left").where("coalesce(_held, 0) = _open")
     best = first_per_key(full, ["page_id", "stars"], [F.col("_rest").desc(), "first_pos", "mask"]).select(*GROUP)
-    pairs = checkpointed(best.join(opening, "page_id"))
-    glued = checkpointed(first_per_key(_glued(pairs, groups), [*GROUP, "key"], ["seq_pos"]).withColumn("date", F.coalesce("url_date", "date")))
+    pairs = checkpointed_pages(best.join(opening, "page_id"))
+    glued = checkpointed_pages(first_per_key(_glued(pairs, groups), [*GROUP, "key"], ["seq_pos"]).withColumn("date", F.coalesce("url_date", "date")))
     sizes = glued.groupBy(*GROUP).agg(F.count("*").alias("n_links"), F.bool_and(F.col("date").isNotNull()).alias("is_sorted"))
     age = F.when(F.col("is_sorted"), -F.unix_date("date")).otherwise(0)
     aged = glued.join(sizes.select(*GROUP, "is_sorted"), GROUP).withColumn("_age", age)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from feedlake.operators import masks as M
 from feedlake.operators import pages as P
 from feedlake.plans.registry import query
-from feedlake.plans.run_fg_archives import PLACED, text
+from feedlake.plans.run_fg_archives import PLACED, flagged, text
 from feedlake.plans.run_g_lists import POSTS_SQL, blog_posts, feed_of, host_of, path_of
 from feedlake.plans.run_l_events import c
-from feedlake.session import checkpointed
+from feedlake.session import checkpointed_pages
 
 
 def page(b, url_path, body):
@@ -18,10 +18,13 @@ def page(b, url_path, body):
     return b.alias("page_id"), F.concat(F.lit("https://"), host_of(b), F.lit(url_path)).alias("url"), html.alias("html")
 
 
+def page_feed(posts):
+    return checkpointed_pages(feed_of(posts).withColumnRenamed("b", "page_id"))
+
+
 def mined(posts, rendered, *more):
-    feed = checkpointed(feed_of(posts).withColumnRenamed("b", "page_id"))
-    nodes = checkpointed(P.nodes(rendered))
-    return nodes, checkpointed(M.flag_feed_links(P.links_of_nodes(nodes).select(*PLACED, *more), feed))
+    nodes = checkpointed_pages(P.nodes(rendered), dealt=True)
+    return nodes, flagged(checkpointed_pages(P.links_of_nodes(nodes).select(*PLACED, *more), dealt=True), page_feed(posts))
 
 
 # Titles by blog number modulo 8: the link's text (4, and 0 with two others), an element of the link (5, and 1 where the first two links
@@ -54,7 +57,7 @@ position AS (
 def _(t):
     posts = blog_posts(t)
     nodes, links = mined(posts, titled_pages(posts), "text")
-    return M.infer_title_position(checkpointed(M.mask_groups(links, 1)), nodes).select("page_id", "kind", "rel", "rank")
+    return M.infer_title_position(checkpointed_pages(M.mask_groups(links, 1)), nodes).select("page_id", "kind", "rel", "rank")
 
 
 @query("f04_titles", f"""WITH {TITLES_SQL} SELECT b AS page_id, i,
@@ -65,8 +68,8 @@ def _(t):
 def _(t):
     posts = blog_posts(t)
     nodes, links = mined(posts, titled_pages(posts), "text", "link_url")
-    groups = checkpointed(M.mask_groups(links, 1))
-    titled = M.apply_title_position(groups, checkpointed(M.infer_title_position(groups, nodes)), nodes)
+    groups = checkpointed_pages(M.mask_groups(links, 1))
+    titled = M.apply_title_position(groups, checkpointed_pages(M.infer_title_position(groups, nodes)), nodes)
     number = F.regexp_extract("link_url", r"-(\d+)$", 1).cast("long").alias("i")
     return titled.select("page_id", number, "title", "title_kind", F.array_join("alternatives", "|").alias("others"))
 
@@ -89,5 +92,5 @@ def nested_pages(posts):
     FROM placed GROUP BY b HAVING max(i) > 12""")
 def _(t):
     posts = blog_posts(t)
-    _nodes, links = mined(posts, nested_pages(posts))
+    links = flagged(checkpointed_pages(P.links_of_nodes(P.link_nodes(nested_pages(posts))).select(*PLACED), dealt=True), page_feed(posts))
     return M.mask_groups(links, 3).groupBy("page_id", "mask").agg(F.count("*").alias("n_links"))

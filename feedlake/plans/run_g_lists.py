@@ -15,17 +15,18 @@ from feedlake.operators import masks as M
 from feedlake.operators import pages as P
 from feedlake.operators.archives import STAGES, archive_candidates, detect_almost_feed, detect_shuffled
 from feedlake.plans.registry import query
-from feedlake.plans.run_fg_archives import PLACED, text
+from feedlake.plans.run_fg_archives import PLACED, flagged, text
 from feedlake.plans.run_l_events import c
-from feedlake.session import checkpointed
+from feedlake.session import checkpointed, checkpointed_pages, deal, discard
 
 
 def blog_posts(t):
     """``b, o, i, n, nf``: posts of each blog by number, blog size, feed size."""
     rows = t.lineitem.select(c("l_partkey").alias("b"), c("l_orderkey").alias("o"), "l_linenumber")
+    rows = deal(rows, "b")
     posts = with_row_number(rows, ["b"], ["o", "l_linenumber"], "i", position_chunk(c("o")))
     sizes = rows.groupBy("b").agg(F.count("*").alias("n"))
-    return checkpointed(posts.join(sizes, "b").select("b", "o", "i", "n", F.least("n", c("b") % 20 + 5).alias("nf")))
+    return checkpointed_pages(posts.join(sizes, "b").select("b", "o", "i", "n", F.least("n", c("b") % 20 + 5).alias("nf")), "b")
 
 
 def day_of(i):
@@ -83,7 +84,7 @@ def categories(t):
     level = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
     pages = rendered.select("page_id", c("b").alias("blog_id"), level.alias("level"), ((c("kind") * 5 + c("b")) % 6).cast("long").alias("arrival"))
     by_page = feed.join(pages.select("page_id", c("blog_id").alias("b")), "b").drop("b")
-    links = checkpointed(M.flag_feed_links(P.links_of_nodes(P.nodes(rendered.select("page_id", "url", "html"))).select(*PLACED, url_day()), by_page))
+    links = checkpointed(M.flag_feed_links(P.links_of_nodes(P.link_nodes(rendered.select("page_id", "url", "html"))).select(*PLACED, url_day()), by_page))
     groups = checkpointed(M.mask_groups(links, 1).select(
         "page_id", "mask", "stars", "pos", "key", "url_date", F.lit(None).cast("date").alias("date")))
     return A.category_archives(groups, feed.select(c("b").alias("blog_id"), "pos", "key"), pages)
@@ -173,14 +174,18 @@ def archive_pages(posts):
 def mined_archives(t):
     """Mask groups of one and two stars with their dates, and the feeds."""
     posts = blog_posts(t)
-    feed = checkpointed(feed_of(posts).withColumnRenamed("b", "page_id"))
-    nodes = checkpointed(P.nodes(archive_pages(posts)))
-    links = checkpointed(M.flag_feed_links(P.links_of_nodes(nodes).select(*PLACED, url_day()), feed))
-    groups = checkpointed(M.mask_groups(links, 1).unionByName(M.mask_groups(links, 2)))
-    dates = checkpointed(P.dated_nodes(nodes))
-    positions = checkpointed(M.infer_date_position(groups, dates))
+    feed = checkpointed_pages(feed_of(posts).withColumnRenamed("b", "page_id"))
+    nodes = checkpointed_pages(P.nodes(archive_pages(posts)), dealt=True)
+    links = flagged(checkpointed_pages(P.links_of_nodes(nodes).select(*PLACED, url_day()), dealt=True), feed)
+    dates = checkpointed_pages(P.dated_nodes(nodes))
+    discard(nodes)
+    groups = checkpointed_pages(M.mask_groups(links, 1).unionByName(M.mask_groups(links, 2)))
+    discard(links)
+    positions = checkpointed_pages(M.infer_date_position(groups, dates))
     dated = A.with_list_dates(M.assign_markup_dates(groups, positions, dates), positions, feed)
-    return checkpointed(dated.select("page_id", "mask", "stars", "pos", "key", "url_date", "date")), feed
+    listed = checkpointed_pages(dated.select("page_id", "mask", "stars", "pos", "key", "url_date", "date"))
+    discard(groups)
+    return listed, feed
 
 
 # The groups that mining finds, written down from the layouts: members by place, with the day where the list is dated.

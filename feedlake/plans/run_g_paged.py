@@ -50,7 +50,7 @@ def paged(t):
     posts = blog_posts(t)
     feed = checkpointed(feed_of(posts))
     rendered = checkpointed(numbered_pages(posts))
-    found = checkpointed(P.links_of_nodes(P.nodes(rendered.select("page_id", "url", "html"))))
+    found = checkpointed(P.links_of_nodes(P.link_nodes(rendered.select("page_id", "url", "html"))))
     blog, number = F.floor(c("page_id") / 100), c("page_id") % 100
     first = feed.select((c("b") * 100 + 1).alias("page_id"), "pos", "bucket", "key", "title")
     links = found.select("*", c("parts.host").alias("host"), c("parts.trimmed_path").alias("trimmed_path"), c("parts.query").alias("query"),
