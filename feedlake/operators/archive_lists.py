@@ -139,7 +139,7 @@ def sorted_lists(groups: DataFrame, entries: DataFrame, almost: bool = False) ->
     down = sized.select(*columns, F.lit(DOWN).alias("form"))
     up = sized.select(*GROUP, (F.col("n_links") - 1 - F.col("seq_pos")).alias("seq_pos"), "key", F.lit(UP).alias("form"))
     dated = _by_dates(sized.where("has_dates")).select(*columns, F.lit(DATED).alias("form"))
-    forms = checkpointed_pages(down.unionByName(up).unionByName(dated))
+    forms = checkpointed_pages(down.unionByName(up).unionByName(dated), dealt=True)
     by = [*GROUP, "form"]
     off = _follows_held(forms, entries, by) if almost else follows_feed(forms, entries, by)
     lengths = forms.groupBy(*by).agg(F.count("*").alias("n_links"))

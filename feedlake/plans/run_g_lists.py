@@ -23,8 +23,7 @@ from feedlake.session import checkpointed, checkpointed_pages, deal, discard
 def blog_posts(t):
     """``b, o, i, n, nf``: posts of each blog by number, blog size, feed size."""
     rows = t.lineitem.select(c("l_partkey").alias("b"), c("l_orderkey").alias("o"), "l_linenumber")
-    rows = deal(rows, "b")
-    posts = with_row_number(rows, ["b"], ["o", "l_linenumber"], "i", position_chunk(c("o")))
+    posts = with_row_number(deal(rows, "b"), ["b"], ["o", "l_linenumber"], "i", position_chunk(c("o")))
     sizes = rows.groupBy("b").agg(F.count("*").alias("n"))
     return checkpointed_pages(posts.join(sizes, "b").select("b", "o", "i", "n", F.least("n", c("b") % 20 + 5).alias("nf")), "b")
 
@@ -179,7 +178,7 @@ def mined_archives(t):
     links = flagged(checkpointed_pages(P.links_of_nodes(nodes).select(*PLACED, url_day()), dealt=True), feed)
     dates = checkpointed_pages(P.dated_nodes(nodes))
     discard(nodes)
-    groups = checkpointed_pages(M.mask_groups(links, 1).unionByName(M.mask_groups(links, 2)))
+    groups = checkpointed_pages(M.mask_groups(links, 1).unionByName(M.mask_groups(links, 2)), dealt=True)
     discard(links)
     positions = checkpointed_pages(M.infer_date_position(groups, dates))
     dated = A.with_list_dates(M.assign_markup_dates(groups, positions, dates), positions, feed)

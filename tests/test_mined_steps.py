@@ -2,10 +2,14 @@
 
 import random
 from html.parser import HTMLParser
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 from feedlake.functions import dom
 from feedlake.operators import archives as G
 from feedlake.operators import masks as M
+from feedlake.session import discard
 
 LINKS = "page_id long, pos long, xpath string, class_xpath string, key string, is_feed boolean, text string"
 
@@ -72,3 +76,40 @@ def test_plain_tags_are_read_as_by_the_general_parser():
     parser = type("Counted", (dom._Nodes,), {"check_for_whole_start_tag": lambda self, i: calls.append(i) or HTMLParser.check_for_whole_start_tag(self, i)})()
     parser.feed('<main><ul><li class="item"><a href="/p">Post</a></li></ul></main>')
     assert not calls
+
+
+def test_whole_pages_are_read_as_by_the_general_parser():
+    plain = ["<!DOCTYPE html>", "<title>x</title>", '<a href="/x">', "</a>", "<li>", "</li>", "<ul>", "</ul>", '<time datetime="2020-01-02">', "</time>", "text", " "]
+    odd = ["<title></title>", "<title>a&lt;</title>", "<title >", "<br/>", "&amp;", "<", "<!-- <li> -->", "<script>if (a < b) {'</li>'}", "</script>", "\x00", "a\r\nb", "<titled>"]
+    rng = random.Random(5)
+    for k in range(3000):
+        html = "".join(rng.choices(plain, k=rng.randint(0, 12)) + rng.choices(odd + plain if k % 2 else plain, k=rng.randint(0, 12)))
+        general, whole, linked = General(), dom._Nodes(), dom._Nodes(links=True)
+        general.feed(html)
+        general.close()
+        whole.read(html)
+        linked.read(html)
+        assert whole.rows == general.rows, html
+        assert linked.rows == [row if row[0] in dom.LINK_KINDS else None for row in general.rows], html
+
+
+def test_steps_by_page_shuffle_nothing(spark):
+    stored = M.checkpointed(links(spark).withColumn("is_feed", F.expr("page_id = 1")))
+    groups = M.checkpointed(M.mask_groups(stored, 2).select("page_id", "stars", "mask", "key"))
+    entries = M.checkpointed(stored.where("is_feed").select("page_id", "key").distinct())
+    held = groups.join(entries, ["page_id", "key"]).groupBy("page_id", "stars", "mask").count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r.page_id, r["count"]) for r in held.collect()} == {(1, 6)}
+
+
+def test_tables_of_pages_are_deleted_when_replaced(spark):
+    stored = M.checkpointed(links(spark))
+    kept = M.checkpointed(stored.where("page_id = 1"))
+    discard(stored)
+    assert not [f for f in stored.inputFiles() if Path(f.removeprefix("file:")).exists()]
+    assert kept.count() == 7
