@@ -115,3 +115,22 @@ def test_stored_rules_have_the_columns_the_operators_read(spark):
     links = U.with_canonical(spark.createDataFrame([(1, "https://www.a.example/post/4/x"), (2, "https://b.example/post/4/x")], "blog_id long, url string"), "url")
     keys = {r.blog_id: r.key for r in canonical_key(links, rules).collect()}
     assert keys == {1: ":same_hosts//post/4?", 2: "b.example//post/4/x?"}
+
+
+def test_simple_urls_read_as_all_others(spark, monkeypatch):
+    hosts = ["http://a.example.com", "https://B.example.com", "HTTP://a.b", "http://a.b:80", "http://me@a.b", "http://", "//c.d", "ftp://a.b", "http:/a", ""]
+    paths = ["", "/", "/p", "/p/", "/p/q.html", "//p", "/p//q", "/p//", "/./p", "/p/../q", "/.p", "/p.", "/p/.", "/~me/x_y-z", "/a%20b", "/é", "/p?page=2", "/p?x=1", "/p#top", "/p\n", "/p ",
+             "p/q", "/10", "/abc", "/http://a.b/c", "/p:q", "/a+b", "/2019/01/02/x/"]
+    bases = ["http://h.example.com/a/b", "https://H.example.com", "HTTPS://h.i/", "http://h.i:8080/x", "http://u@h.i/", "http://h.i/?q", "ftp://h.i/", "h.i/x", "", "http://h.i\n", None]
+    rows = [(h + p, b) for h in hosts for p in paths for b in bases] + [(None, b) for b in bases]
+    df = spark.createDataFrame(rows, "url string, page string")
+    plans = []
+    simple_url = U.SIMPLE_URL
+    for simple in (simple_url, "(?!)"):
+        monkeypatch.setattr(U, "SIMPLE_URL", simple)
+        plans.append((U.with_canonical(df, "url", "page", "x_"), U.with_canonical(df, "url")))
+    for fast, slow in zip(*plans, strict=True):
+        assert fast.columns == slow.columns
+        assert fast.exceptAll(slow).collect() == [] and slow.exceptAll(fast).collect() == []
+    read = df.where(F.col("url").rlike(simple_url)).select("url").distinct().count()
+    assert read > 20
