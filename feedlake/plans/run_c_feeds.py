@@ -9,7 +9,7 @@ from feedlake.functions.ordered import position_chunk, with_row_number
 from feedlake.operators import feeds as O
 from feedlake.operators import seqmatch as S
 from feedlake.plans.registry import query
-from feedlake.session import checkpointed
+from feedlake.session import checkpointed, checkpointed_pages, deal, discard
 
 c = F.col
 
@@ -108,19 +108,25 @@ entries AS (SELECT *, sum(CASE WHEN NOT order_certain OR prev IS NULL OR prev <>
 
 def raw_entries(t):
     k = c("l_orderkey")
-    firsts = t.lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("_first"))
+    lines = deal(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"), "l_orderkey")
+    firsts = lines.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("_first"))
     year = F.when(k % 6 == 2, 2000 + c("l_linenumber")).otherwise(2000 - c("l_linenumber"))
     made = F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     date = F.when(k % 6 == 1, F.date_trunc("year", "_first")).when((k % 6).isin(2, 3), made).when(k % 6 != 0, F.date_trunc("year", "l_shipdate"))
-    rows = t.lineitem.join(firsts, "l_orderkey").select(
+    rows = lines.join(firsts, "l_orderkey").select(
         k.alias("feed_id"), "l_linenumber", "l_partkey", "l_suppkey", date.alias("date"), (c("l_partkey") % 50).alias("key"))
     ranked = with_row_number(rows, ["feed_id"], ["l_linenumber", "l_partkey", "l_suppkey"], "_n", position_chunk(c("l_linenumber")))
     return ranked.select("feed_id", (c("_n") - 1).alias("pos"), "date", "key")
 
 
 def entries(t):
-    """The entry table is read many times by the matching queries, so it is materialised once."""
-    return checkpointed(O.bucket_entries(checkpointed(O.infer_feed_order(checkpointed(raw_entries(t))))))
+    """The entry table is read many times by the matching queries, so it is materialised once, in buckets by feed: a feed is one document."""
+    raw = checkpointed_pages(raw_entries(t), "feed_id", dealt=True)
+    ordered = checkpointed_pages(O.infer_feed_order(raw), "feed_id", dealt=True)
+    discard(raw)
+    bucketed = checkpointed_pages(O.bucket_entries(ordered), "feed_id", dealt=True)
+    discard(ordered)
+    return bucketed
 
 
 @query("c05_infer_feed_order", f"WITH {ENTRIES_SQL} SELECT feed_id, pos, key, order_certain FROM ordered")
@@ -173,7 +179,7 @@ def candidates(e):
     lead = F.when(c("feed_id") % 3 == 2, 0).otherwise(c("bucket"))
     rows = e.where(~((c("feed_id") % 4 == 0) & (c("pos") == 0))).select("feed_id", lead.alias("_lead"), "key", "pos")
     ranked = with_row_number(rows, ["feed_id"], ["_lead", c("key").desc(), "pos"], "_n", position_chunk(c("_lead")))
-    return checkpointed(ranked.select("feed_id", (c("_n") - 1).alias("seq_pos"), "key"))
+    return checkpointed_pages(ranked.select("feed_id", (c("_n") - 1).alias("seq_pos"), "key"), "feed_id", dealt=True)
 
 
 SEQ_SQL = f"""{ENTRIES_SQL}, seq AS (SELECT feed_id, key, row_number() OVER (PARTITION BY feed_id ORDER BY CASE WHEN feed_id % 3 = 2 THEN 0 ELSE bucket END, key DESC, pos) - 1 AS seq_pos

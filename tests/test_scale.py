@@ -2,13 +2,15 @@
 
 import os
 import re
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from feedlake.functions import xmlfeeds as X
 from feedlake.functions.dom import NODE_SCHEMA, page_nodes
-from feedlake.operators import masks
+from feedlake.operators import archives, masks, seqmatch
+from feedlake.plans import registry, run_c_feeds, run_fg_archives  # noqa: F401
 from feedlake.plans.registry import Tables
 from feedlake.plans.run_d_discovery import site_pages
 from feedlake.session import checkpointed, configure
@@ -72,3 +74,31 @@ def test_texts_are_matched_once(spark):
     links = spark.createDataFrame([('<link rel="self" href="s"/><link rel="alternate" href="a"/><link href="p"/>',), ('<link href="p"/><link rel="self" href="s"/>',), ("",), (None,)], "t string")
     got = links.select(X.atom_link(F.col("t")).alias("x")).select("x.count", "x.href").collect()
     assert [tuple(r) for r in got][:3] == [(1, "a"), (1, "p"), (0, None)]
+
+
+def feed_lines(spark, folder):
+    rows = [(k, n, 10 * k + n, n, date(2020, 1, 1 + (k + n) % 9)) for k in range(1, 40) for n in range(1, 2 + k % 7)] + [(None, None, None, None, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date").write.parquet(f"{folder}/lineitem.parquet")
+    return Tables(configure(spark), str(folder))
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_feeds_and_lists_meet_in_their_buckets(spark, tmp_path):
+    e = run_c_feeds.entries(feed_lines(spark, tmp_path))
+    listed = run_c_feeds.candidates(e)
+    members = e.where("key % 5 <> 0").select("feed_id", "key")
+    for df in (seqmatch.filter_included(e, members), seqmatch.match_except_first(e, listed), seqmatch.sequence_is_suffix(e, listed), seqmatch.sequence_match(e, listed)):
+        assert shuffles(df) == 0 and df.count() > 20
+
+
+def test_groups_of_a_feed_stay_in_its_bucket(spark, tmp_path, monkeypatch):
+    seen = []
+    for name in ("sequence_match", "match_except_first"):
+        monkeypatch.setattr(archives, name, lambda *a, f=getattr(archives, name): seen.append(f(*a)) or seen[-1])
+    t = Tables(configure(spark), feed_lines(spark, tmp_path).folder)
+    run = {n: registry.QUERIES[n](spark, t.folder) for n in ("g14_detect_page2", "g02_detect_sorted_first")}
+    assert len(seen) == 2 and all(shuffles(df) == 0 for df in seen)
+    assert all(df.count() > 0 for df in run.values())
