@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from feedlake.llm.common import Scratch, text_function, unused, with_text
 from feedlake.llm.components import connected_components
 from feedlake.llm.near_copies import near_groups, text_id, text_sets
+from feedlake.session import measured_only
 
 SEED = 42
 THRESHOLD = 3
@@ -87,7 +88,11 @@ def near_anchors(half: Column) -> Column:
 
 
 def near_links(fps: DataFrame) -> DataFrame:
-    """``(a, b)``, ``a < b``: all pairs of the distinct values in ``fps (fp)`` that differ in at most three bits."""
+    """``(a, b)``, ``a < b``: all pairs of the distinct values in ``fps (fp)`` that differ in at most three bits.
+
+    A value has up to 34 replicas: they are never sent to all tasks, and sizes of joins are measured from then on.
+    """
+    measured_only(fps.sparkSession)
     halves = (F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
     tags = [F.lit(k << 32) for k in range(2)]
     home = fps.select(F.col("fp").alias("p"), F.explode(F.array(*(home_anchor(h) + t for h, t in zip(halves, tags, strict=True)))).alias("anchor"))
@@ -142,6 +147,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     pairs that differ in more bits. Rows with the same id (or all ids null) are told apart by a hash of the text, then
     arbitrarily but once: the choice is stored before it is applied.
     """
+    measured_only(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-dedup")
     ids = text_sets(docs, scratch, fp=simhash)
     near = near_groups(docs, scratch, ids, simhash_pairs(ids, scratch))
